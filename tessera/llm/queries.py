@@ -22,6 +22,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256})
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import drop_repeats
+
+    return drop_repeats(spark, table(spark, sf_dir, "documents"), 35)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -31,6 +37,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
