@@ -22,6 +22,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256})
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import drop_repeats
 
@@ -37,6 +50,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
+    "op7_near_dedup": op7_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
