@@ -2,7 +2,7 @@
 
 A window of ``width`` words is an edge between its two overlapping borders; the edges that occur twice are what
 is looked for. To compare paths instead of single edges, every window is assigned to the k-mer inside it with the
-least hash (its anchor). Consecutive windows with the same anchor form a *path* of at most ``k`` edges. Equal
+least hash (its anchor). Consecutive windows with the same anchor form a *path*. Equal
 windows have equal anchors, hence:
 
 * an anchor that occurs once has no repeated edge (one aggregation drops most of the corpus);
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import byte_range_hashes, chunks, mix, range_hashes, text_buffers, words
-from .shared import written
+from .shared import discard, written
 
 _NO_ID = -(2**63)
 
@@ -48,7 +48,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 def paths(word_hash: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """Text, anchor, path hash, first window and number of windows of each path; ``first`` are the texts' first words."""
-    k = (width + 1) // 2
+    k = max(1, width // 3)
     span = width - k + 1
     n = len(word_hash)
     if n < width:
@@ -125,22 +125,24 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, width: int) -> DataFr
     """For each row key, ``marks``: first windows of paths and masks of those of their edges that occur elsewhere too."""
     keyed = docs.select(*_key(), "text")
     found = written(spark, scan_paths(keyed, width))
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # Verdicts are written before they are joined, so that both sides of a join are plain shuffles that can be split.
+    anchors = written(spark, found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     some = written(spark, found.join(anchors, "anchor"))
+    discard(spark, found)
     source = F.min(F.struct("kid", "kh", "start", "edges")).alias("source")
     variants = written(spark, some.groupBy("anchor", "path").agg(F.count(F.lit(1)).alias("weight"), source))
-    branching = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("v")).filter("v > 1").select("anchor")
+    branching = written(spark, variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("v")).filter("v > 1").select("anchor"))
     asked = (
         variants.join(branching, "anchor")
         .groupBy(F.col("source.kid").alias("kid"), F.col("source.kh").alias("kh"))
         .agg(F.collect_list(F.struct("path", "source.start", "source.edges", "weight")).alias("asked"))
     )
     edges = written(spark, expand_edges(asked.join(keyed, ["kid", "kh"]), width).dropDuplicates(["edge", "path", "number"]))
-    twice = edges.groupBy("edge").agg(F.sum("weight").alias("n")).filter("n > 1").select("edge")
+    twice = written(spark, edges.groupBy("edge").agg(F.sum("weight").alias("n")).filter("n > 1").select("edge"))
     bits = edges.join(twice, "edge").groupBy("path").agg(F.expr("bit_or(shiftleft(1L, number))").alias("mask"))
     # Paths that occur twice are repeated as they stand; their edges need no count.
     full = variants.filter("weight > 1").select("path", F.expr("shiftleft(1L, source.edges) - 1").alias("mask"))
-    masks = full.unionByName(bits).groupBy("path").agg(F.expr("bit_or(mask)").alias("mask"))
+    masks = written(spark, full.unionByName(bits).groupBy("path").agg(F.expr("bit_or(mask)").alias("mask")))
     return some.join(masks, "path").groupBy("kid", "kh").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
 
 
