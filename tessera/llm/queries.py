@@ -41,6 +41,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(spark, table(spark, sf_dir, "documents"), 35)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_content import default_model, main_text
+
+    return main_text(table(spark, sf_dir, "pages"), default_model())
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -53,6 +59,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
