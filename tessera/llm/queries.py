@@ -5,11 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fixity
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fixity import archive, audit, damaged
+
+    pages = table(spark, sf_dir, "pages")
+    return audit(spark, archive(pages), damaged(pages))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -60,6 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_token_counts": op3_token_counts,
     "op4_learned_partitions": op4_learned_partitions,
     "op5_packing": op5_packing,
@@ -70,4 +80,4 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_warc_fixity": fixity.SQL}
