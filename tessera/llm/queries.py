@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import edited_copies, pictures
+
+    return edited_copies(spark, pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fixity import archive, audit, damaged
 
@@ -69,6 +75,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_image_copies": op1_image_copies,
     "op2_warc_fixity": op2_warc_fixity,
     "op3_token_counts": op3_token_counts,
     "op4_learned_partitions": op4_learned_partitions,

@@ -1,29 +1,47 @@
-"""Stages of the corpus pipeline: (spark, docs, folder of tables) -> documents, or rows for the last."""
+"""Stages of the corpus pipeline: (spark, docs, folder of tables) -> documents, or pieces for the last."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .language import keep_identified, train
+from .near_dup import near_duplicates
 from .packing import pack_documents
 from .shared import written
+from .substring import drop_repeats
 
 __all__ = ["language_id", "near_dedup", "packing", "substring_dedup", "written"]
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256})
+#: A document stays if this share of its letters is in one language.
+LEAST_SCORE = 0.2
+#: Near-duplicates share 80 % of their five-word shingles; passages of at least this many words are repeats.
+SHINGLE_WORDS, SIMILAR_PERCENT, PASSAGE_WORDS = 5, 80, 50
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Drops documents of which no language can be told: null texts, texts without letters, and jumbles."""
+    docs = docs.select(*COLUMNS)
+    return keep_identified(docs, train(docs), LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Keeps one document of each group of near-duplicates: that with the least id. Repeated rows count as copies."""
+    docs = docs.select(*COLUMNS)
+    groups = near_duplicates(spark, docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    kept = written(spark, groups.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct())
+    left = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    return left.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Takes passages that occur again out of the texts; a text without any stays as it is."""
+    out = drop_repeats(spark, docs, PASSAGE_WORDS, keep_text=True, carry=("lang", "source", "n_chars"))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into windows; the pieces are the pipeline's result."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256})

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import byte_range_hashes, chunks, mix, range_hashes, text_buffers, words
 from .shared import discard, written
@@ -146,21 +147,22 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, width: int) -> DataFr
     return some.join(masks, "path").groupBy("kid", "kh").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, width: int, keep_text: bool = False) -> DataFrame:
+def drop_repeats(spark: SparkSession, docs: DataFrame, width: int, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word that a repeated window of ``width`` words covers.
 
     A window is repeated if its words also start anywhere else, in the same text or another, judged on the input.
     ``docs`` has doc_id and text; the result has doc_id, ``n_words``, ``n_removed``, ``kept_sha256`` (of the kept
-    words joined by one space) and, with ``keep_text``, ``text`` (unchanged where nothing was removed; null stays null).
+    words joined by one space) and, with ``keep_text``, ``text`` (unchanged where nothing was removed; null stays null), and the columns ``carry`` as they are.
     A null or empty text has no words; repeated rows repeat each other; a null id is kept; an empty table gives no
     rows; other columns are not read. No text is compared with another: copies meet as equal paths.
     """
     if not 2 <= width <= 63:
         raise ValueError("width must be between 2 and 63 words")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = [f"c{i}" for i in range(len(carry))]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, own, strict=True)))
     marks = repeated_windows(spark, docs, width)
-    both = docs.select("doc_id", "text", *_key()).join(marks, ["kid", "kh"], "left").select("doc_id", "text", "marks")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
+    both = docs.select("doc_id", "text", *own, *_key()).join(marks, ["kid", "kh"], "left").select("doc_id", "text", "marks", *own)
+    schema = T.StructType([T.StructField(n, t()) for n, t in (("doc_id", T.LongType), ("n_words", T.LongType), ("n_removed", T.LongType), ("kept_sha256", T.StringType), ("text", T.StringType))][: 4 + keep_text] + [both.schema[n] for n in own])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -203,6 +205,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, width: int, keep_text: bo
                 gone = (np.diff(first) - left).tolist()
                 old = batch.column(1)
                 out.append(pa.array([bytes(view[low[i] : high[i]]).decode() if gone[i] else old[i].as_py() for i in range(n)], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text)
+            out += batch.columns[3:]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["text"] * keep_text + own)
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(run, schema).withColumnsRenamed(dict(zip(own, carry, strict=True)))
