@@ -5,12 +5,12 @@ A class has ``BANDS * ROWS`` minima; whole minima make the band keys, and only t
 packed signature. Classes that share a band key are candidates; the number of agreeing bytes, corrected for chance
 collisions, drops pairs that are far below the threshold; the rest is confirmed on the full sets.
 
-No bucket is paired out. A round compares one class of each bucket, its centre, with the bucket's others. The
-centre is the class whose band keys are the most common: among edited copies of a text that is the text itself,
-which the copies resemble more than each other. Then components are formed, the centre (now compared with all)
-leaves the bucket, and a bucket goes on only while classes of different components are left in it. Buckets
-that are still open after ``STAR_ROUNDS`` are joined with themselves across components, the signature test being
-part of the join condition. So every candidate pair is either compared or already connected.
+No bucket is paired out. First every class of a bucket is compared with the bucket's centre alone, the class whose band
+keys are the most common: among edited copies of a text that is the text itself, which the copies resemble more than
+each other. A bucket in which classes of different components are left besides the centre stays open. Open buckets that
+share classes make a group, groups are dealt into blocks of bounded size, and each pair of blocks is compared at once
+by a product of 0/1 matrices, which gives all intersections exactly; only links leave the task, and no more of them
+than join its classes. So every candidate pair is either compared or already connected, whatever a group's size.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from .shared import written
 
 BANDS, ROWS = 28, 4
 MINIMA = BANDS * ROWS
-#: Rounds of comparing with centres before the rest is joined directly.
-STAR_ROUNDS = 3
+#: Classes, and shingles of their sets, that one block of an open group holds.
+BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20
 #: Standard deviations by which a signature's estimate may fall short before a pair is dropped unseen.
 SLACK = 6
 #: Texts handled at once; their number shares a 64-bit word with the shingle's hash.
@@ -146,6 +146,84 @@ def confirm(pairs: DataFrame, percent: int, size: int) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def block_links(keys_a: np.ndarray, edge_a: np.ndarray, keys_b: np.ndarray, edge_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b that are links, as far as needed to connect all that links connect.
+
+    Keys are shingle hashes of consecutive rows. The product runs over the shingles that both sides have, some
+    columns at a time.
+    """
+    na, nb = np.diff(edge_a), np.diff(edge_b)
+    inter = np.zeros((len(na), len(nb)), np.float32)
+    row_a, row_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    both = np.intersect1d(keys_a, keys_b)
+    in_a, in_b = np.searchsorted(both, keys_a), np.searchsorted(both, keys_b)
+    hit_a, hit_b = (np.append(both, 0)[i] == k if len(both) else np.zeros(len(k), bool) for i, k in ((in_a, keys_a), (in_b, keys_b)))
+    hit_a &= in_a < len(both)
+    hit_b &= in_b < len(both)
+    row_a, in_a, row_b, in_b = row_a[hit_a], in_a[hit_a], row_b[hit_b], in_b[hit_b]
+    order_a, order_b = np.argsort(in_a, kind="stable"), np.argsort(in_b, kind="stable")
+    row_a, in_a, row_b, in_b = row_a[order_a], in_a[order_a], row_b[order_b], in_b[order_b]
+    width = 2048
+    for low in range(0, len(both), width):
+        (a0, a1), (b0, b1) = np.searchsorted(in_a, (low, low + width)), np.searchsorted(in_b, (low, low + width))
+        x, y = np.zeros((len(na), width), np.float32), np.zeros((len(nb), width), np.float32)
+        x[row_a[a0:a1], in_a[a0:a1] - low] = 1
+        y[row_b[b0:b1], in_b[b0:b1] - low] = 1
+        inter += x @ y.T
+    union = na[:, None] + nb[None, :] - inter.astype(np.int64)
+    return np.nonzero((union > 0) & (100 * inter.astype(np.int64) >= percent * union))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mask of links that are enough to connect what all of them connect."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
+
+def compare_groups(members: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) within groups; ``members`` has grp, node, n and text. Every pair of a group meets in one task."""
+    shape = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(shape, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = dealt.select("grp", "node", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = other.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        node, own = table.column("node").to_numpy(), table.column("own").to_numpy()
+        sets: list[np.ndarray] = []
+        for batch in _pieces(table.select(["text"]).combine_chunks().to_batches(), "text"):
+            keys, edge = shingle_sets(batch.column(0), size)
+            keys = keys << np.uint64(_ROWS_BITS)
+            right = [keys[edge[i] : edge[i + 1]] for i in range(batch.num_rows)]
+            hashes = _set_hash(keys >> np.uint64(_ROWS_BITS), edge).view(np.int64)  # as in the class: wrong texts are emptied
+            start = len(sets)
+            sets += [k if hashes[i] == node[start + i] else k[:0] for i, k in enumerate(right)]
+        i = int(own.min())
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own != i)
+        if not len(right):
+            right = left
+        flat = lambda rows: (np.concatenate([sets[r] for r in rows]), np.concatenate([[0], np.cumsum([len(sets[r]) for r in rows])]))
+        x, y = block_links(*flat(left), *flat(right), percent)
+        a, b = node[left[x]], node[right[y]]
+        keep = a != b
+        a, b = a[keep], b[keep]
+        keep = _forest(a, b)
+        return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
+
+    return placed.groupBy("grp", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """Components of texts of which ``100 * intersection >= percent * union`` holds for sets of ``size``-word shingles.
 
@@ -159,52 +237,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 3, percent
     rows = written(spark, signatures(docs, size))
     classes = written(spark, rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("did"), F.first(F.struct("n", "sig", "bands")).alias("v")).select("node", "did", "v.*"))
     keys = classes.select("node", F.explode("bands").alias("key"))
-    common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    common = written(spark, keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     members = written(spark, keys.join(common, "key"))
-    popular = members.groupBy("node").agg(F.sum("c").alias("pop"))
-    open_ = written(spark, members.join(popular, "node").select("key", "node", "pop"))
-    links = tried = roots = None
-    least = least_agreeing(percent)
-    alike = lambda p, q: f"100 * least({p}.n, {q}.n) >= {percent} * greatest({p}.n, {q}.n)"
+    popular = written(spark, members.groupBy("node").agg(F.sum("c").alias("pop")))
+    texts = written(spark, _texts(popular.join(classes.select("node", "did"), "node"), docs))
+    placed = members.join(popular, "node").select("key", "node", "pop")
+    centre = written(spark, placed.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("m")).select("key", F.col("m.node").alias("centre")))
+    met = written(spark, members.join(centre, "key").filter("node <> centre").select("key", "node", "centre"))
+
     side = lambda x: classes.select(F.col("node").alias(x), F.struct("n", "sig").alias(f"v{x}"))
-    for turn in range(STAR_ROUNDS + 1):
-        if open_.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            centre = open_.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("m")).select("key", F.col("m.node").alias("centre"))
-            met = open_.join(centre, "key")
-            fresh = met if roots is None else met.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root")), "centre", "left").filter("coalesce(centre_root, centre) <> coalesce(root, node)")
-            pairs = fresh.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-            pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(alike("va", "vb")).filter(agreeing("va.sig", "vb.sig") >= least).select("a", "b")
-            open_ = met.filter("node <> centre").select("key", "node", "pop")
-        else:
-            rest = open_.select("key", "node", "root").join(classes.select("node", F.struct("n", "sig").alias("v")), "node")
-            x = rest.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("v").alias("va"))
-            y = rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("v").alias("vb"))
-            pairs = x.join(y, (x.key == y.key) & (x.a < y.b) & (x.ra != y.rb) & F.expr(alike("va", "vb")) & (agreeing("va.sig", "vb.sig") >= least)).select("a", "b").distinct()
-            open_ = open_.limit(0)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(spark, pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "did"), "node")
-        texts = written(spark, needed.join(docs, needed.did.eqNullSafe(docs.doc_id)).select("node", "text"))
-        linked = confirm(pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"), percent, size)
-        linked = written(spark, linked)
-        links = linked if links is None else links.unionByName(linked)
-        roots = written(spark, components(spark, links))
-        if turn < STAR_ROUNDS:
-            # A bucket stays open while classes of different components are left in it.
-            now = open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-            open_ = written(spark, now.join(apart, "key"))
-    reps = classes.select("node", "did")
-    if roots is not None:
-        joined = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        low = joined.groupBy("root").agg(F.min("did").alias("component_id"))
-        reps = joined.join(low, "root").select("node", "component_id")
-    else:
-        reps = reps.withColumnRenamed("did", "component_id")
+    pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(va.n, vb.n) >= {percent} * greatest(va.n, vb.n)")
+    pairs = written(spark, pairs.filter(agreeing("va.sig", "vb.sig") >= least_agreeing(percent)).select("a", "b"))
+    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    links = written(spark, confirm(pairs.join(text("a"), "a").join(text("b"), "b"), percent, size))
+    roots = written(spark, components(spark, links))
+
+    # Besides its centre, which was compared with all, a bucket is open while it holds more than one component.
+    now = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = written(spark, now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("least")).filter("lo < hi").select("key", "least"))
+    left = written(spark, met.join(apart, "key").select("node", "least").distinct())
+    if not left.isEmpty():
+        groups = written(spark, components(spark, left.select(F.col("node").alias("a"), F.col("least").alias("b"))))
+        open_ = groups.select("node", F.col("root").alias("grp")).join(classes.select("node", "n"), "node").join(texts, "node")
+        more = written(spark, compare_groups(open_, percent, size))
+        roots = written(spark, components(spark, links.unionByName(more)))
+
+    joined = classes.select("node", "did").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low = joined.groupBy("root").agg(F.min("did").alias("component_id"))
+    reps = written(spark, joined.join(low, "root").select("node", "component_id"))
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(reps, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the classes ``wanted`` (node, did); where ids repeat there may be wrong texts besides."""
+    return wanted.join(docs, wanted.did.eqNullSafe(docs.doc_id)).select("node", "text")
