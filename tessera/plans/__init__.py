@@ -1,0 +1 @@
+"""What a frame knows beside its Spark plan."""

@@ -1,0 +1 @@
+"""Reserved: every source of the frame interface is bounded, so there is nothing to stream."""
