@@ -19,22 +19,20 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     edges = written(spark, edges)
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    nodes = edges
-    before = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # The larger neighbours of each node go to the least of its neighbourhood.
         large = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = written(spark, large.filter("a <> b").distinct())
         # Then the smaller neighbours of each node, and the node itself.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
         edges = written(spark, small.filter("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    # Stars: each node but a root has one link, to its root.
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    return written(spark, edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node is either a root or has one link, to a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()

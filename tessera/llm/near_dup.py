@@ -7,8 +7,8 @@ collisions, drops pairs that are far below the threshold; the rest is confirmed
 
 No bucket is paired out. First every class of a bucket is compared with the bucket's centre alone, the class whose band
 keys are the most common: among edited copies of a text that is the text itself, which the copies resemble more than
-each other. A bucket in which classes of different components are left besides the centre stays open. Open buckets that
-share classes make a group, groups are dealt into blocks of bounded size, and each pair of blocks is compared at once
+each other. A bucket in which the centre is not linked with all others, of which there are several, stays open. Open buckets
+that share classes make a group, groups are dealt into blocks of bounded size, and each pair of blocks is compared at once
 by a product of 0/1 matrices, which gives all intersections exactly; only links leave the task, and no more of them
 than join its classes. So every candidate pair is either compared or already connected, whatever a group's size.
 """
@@ -251,17 +251,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 3, percent
     pairs = written(spark, pairs.filter(agreeing("va.sig", "vb.sig") >= least_agreeing(percent)).select("a", "b"))
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
     links = written(spark, confirm(pairs.join(text("a"), "a").join(text("b"), "b"), percent, size))
-    roots = written(spark, components(spark, links))
 
-    # Besides its centre, which was compared with all, a bucket is open while it holds more than one component.
-    now = met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = written(spark, now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("least")).filter("lo < hi").select("key", "least"))
+    # A bucket is open if it holds more classes than its centre and one, and its centre is not linked with them all.
+    ends = links.select("a", "b", F.lit(1).alias("linked"))
+    now = met.select("key", "node", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).join(ends, ["a", "b"], "left")
+    count = now.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count("linked").alias("linked"), F.min("node").alias("least"))
+    apart = written(spark, count.filter("all > 1 and linked < all").select("key", "least"))
     left = written(spark, met.join(apart, "key").select("node", "least").distinct())
     if not left.isEmpty():
-        groups = written(spark, components(spark, left.select(F.col("node").alias("a"), F.col("least").alias("b"))))
+        groups = components(spark, left.select(F.col("node").alias("a"), F.col("least").alias("b")))
         open_ = groups.select("node", F.col("root").alias("grp")).join(classes.select("node", "n"), "node").join(texts, "node")
-        more = written(spark, compare_groups(open_, percent, size))
-        roots = written(spark, components(spark, links.unionByName(more)))
+        links = links.unionByName(written(spark, compare_groups(open_, percent, size)))
+    roots = components(spark, links)
 
     joined = classes.select("node", "did").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = joined.groupBy("root").agg(F.min("did").alias("component_id"))
