@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once by one task; it bounds the temporary arrays (about 40 times this).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _rng = np.random.default_rng(20240229)
@@ -67,7 +67,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of them."""
     global _powers, _inverse
     if len(_powers) < n:
-        size = 1 << int(n - 1).bit_length()
+        size = (n + (1 << 18) - 1) >> 18 << 18
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, base in (("_powers", _BASE), ("_inverse", inverse)):
             out = np.full(size, base, np.uint64)

@@ -91,7 +91,7 @@ def letter_runs(body: np.ndarray, off: np.ndarray) -> LetterRuns:
     size = ends - starts
     gram_first = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=gram_first[1:])
-    return LetterRuns(np.searchsorted(starts, off), starts, ends, script, (x >> np.uint32(16)).astype(np.int64), gram_first)
+    return LetterRuns(np.searchsorted(starts, off), starts, ends, script, (x >> np.uint32(16)).astype(np.int32), gram_first)
 
 
 def labelled(doc_id: str = "doc_id") -> Column:
@@ -118,7 +118,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
         done += batch.num_rows
         np.add.at(scripts, (runs.script, word_lang), 1)
         gram_lang = np.repeat(word_lang, np.diff(runs.gram_first))
-        counts += np.bincount(runs.gram * len(languages) + gram_lang, minlength=counts.size).reshape(counts.shape)
+        counts += np.bincount(runs.gram.astype(np.int64) * len(languages) + gram_lang, minlength=counts.size).reshape(counts.shape)
     logp = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
     return Model(languages, logp.astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1))
 
