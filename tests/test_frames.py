@@ -300,3 +300,68 @@ def test_random_groups_and_windows(session, data):
     same(f.groupby("k", dropna=False).agg(s=("v", "sum"), c=("v", "count")).collect().reset_index(drop=True), p.groupby("k", dropna=False).agg(s=("v", "sum"), c=("v", "count")).reset_index(drop=True))
     np.testing.assert_allclose(f["v"].cumsum().collect().astype(float), p.v.cumsum())
     np.testing.assert_allclose(f["v"].rank().collect().astype(float), p.v.rank())
+
+
+def test_module_level_readers(spark, tmp_path):
+    a = ts.from_pandas(pd.DataFrame({"x": [1, 2]}))
+    b = ts.from_arrow(pa.table({"x": [3]}))
+    assert a._state.session is b._state.session
+    assert ts.concat([a, b]).collect()["x"].tolist() == [1, 2, 3]
+    a.write_csv(tmp_path / "c")
+    a.write_parquet(tmp_path / "p")
+    assert ts.read_csv(tmp_path / "c").collect()["x"].sum() == 3 and ts.read_parquet(tmp_path / "p").collect()["x"].sum() == 3
+    a._state.session.close()
+    assert ts.from_pandas(pd.DataFrame({"x": [1]}))._state.session is not a._state.session
+
+
+def test_sessions_are_apart(spark):
+    with ts.connect() as one, ts.connect() as two:
+        one.from_pandas(pd.DataFrame({"x": [1]})).persist("only_here")
+        assert one.table("only_here").collect()["x"].tolist() == [1]
+        with pytest.raises(Exception, match="only_here"):
+            two.table("only_here")
+    assert one.closed
+    with pytest.raises(SessionClosedError):
+        one.sql("SELECT 1")
+    assert spark.range(1).count() == 1
+    with pytest.raises(UnsupportedOperationError):
+        ts.connect(max_temp_directory_size="1GB")
+
+
+def test_partition_folders_and_merged_schemas(session, tmp_path):
+    pd.DataFrame({"x": [1]}).to_parquet(tmp_path / "a.parquet")
+    pd.DataFrame({"x": [2], "y": ["q"]}).to_parquet(tmp_path / "b.parquet")
+    got = session.read_parquet([tmp_path / "a.parquet", tmp_path / "b.parquet"], union_by_name=True).sort_values("x").collect()
+    assert got["y"].tolist() == [None, "q"]
+    (tmp_path / "h" / "day=3").mkdir(parents=True)
+    pd.DataFrame({"x": [1]}).to_parquet(tmp_path / "h" / "day=3" / "a.parquet")
+    assert session.read_parquet(tmp_path / "h", hive_partitioning=True).columns == ("x", "day")
+    assert session.read_parquet(tmp_path / "h").columns == ("x",)
+    with pytest.raises(KeyError):
+        session.read_parquet(tmp_path / "h", index="nope")
+    with pytest.raises(ValueError, match="must be unique"):
+        session.from_pandas(pd.DataFrame({"x": [1]}), order_by=["x", "x"])
+
+
+def test_where_with_frames_and_casts(session):
+    p = pd.DataFrame({"a": [True, False, True], "b": [False, False, True]})
+    f = session.from_pandas(p)
+    same(f.where(f, False).collect(), p.where(p, False))
+    same(f.mask(f, None).isna().collect(), p.mask(p, None).isna())
+    with pytest.raises(AlignmentError):
+        f.where(f.isna())
+    with pytest.raises(TypeError, match="cond must be"):
+        f.where([True])
+    with pytest.raises(TypeError, match="other must be"):
+        f.where(True, [1])
+    n = session.from_pandas(pd.DataFrame({"x": [2.7, -2.7, None]}))
+    assert n.astype({"x": "int64"}).collect()["x"].tolist()[:2] == [2, -2]
+    assert n.astype({"x": "nope"}, errors="ignore").collect()["x"].tolist()[:2] == [2.7, -2.7]
+
+
+def test_nullable_integers_keep_their_type(session):
+    p = pd.DataFrame({"v": pd.array([1, None, 3], dtype="Int64"), "k": [1, 1, 2]})
+    f = session.from_pandas(p)
+    assert str(f.collect()["v"].dtype) == "Int64" and str(f[f["k"] > 0].collect()["v"].dtype) == "Int64"
+    assert str(f.assign(w=f["v"] + 1).collect()["w"].dtype) == "float64"
+    assert str(f.head(1)["v"].dtype) == "Int64"
