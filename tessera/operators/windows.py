@@ -1,13 +1,25 @@
 """Row-ordered expressions: shifts, running and moving aggregates, ranks.
 
-Windows span the whole frame, in its guaranteed order; Spark evaluates such a window in one task.
+Windows span the whole frame, in its guaranteed order. Spark evaluates such a window in one task, which is the
+fastest plan for frames that a task can sort. Beyond ``ONE_TASK_BYTES`` (Catalyst's estimate; nothing runs) and if the
+first order key is a number or a time, the same values come from blocks of that key:
+
+* running aggregates: a window in each block, plus what all blocks before it add up to (one row for each block);
+* shifts and moving aggregates: a row number from block counts, then runs of ``RUN_ROWS`` rows, each of which
+  also gets the few rows before (and after) it that its frames reach.
+
+Blocks are equal spans between the key's least and greatest value, so both branches of a plan agree on them; rows
+with equal keys share a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column
+from pyspark.sql import DataFrame as SparkFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
@@ -17,7 +29,7 @@ from tessera.functions.aggregates import number
 from tessera.functions.scalars import divide
 from tessera.functions.types import is_integer, is_numeric
 from tessera.operators.validate import ddof_of
-from tessera.plans.state import State
+from tessera.plans.state import State, fresh
 
 if TYPE_CHECKING:
     from tessera.operators.frame import DataFrame
@@ -30,35 +42,166 @@ def in_order(state: State) -> WindowSpec:
     return Window.orderBy(*(k.spark() for k in state.order))
 
 
-def cumulative(state: State, c: Column, kind: T.DataType, name: str, skipna: bool = True) -> Column:
+#: Estimated size up to which one task evaluates a window over the whole frame.
+ONE_TASK_BYTES = 1 << 30
+#: Blocks of the order key, and rows of a run for frames of bounded reach.
+BLOCKS, RUN_ROWS = 4096, 1 << 20
+
+
+@dataclass(frozen=True)
+class Prep:
+    """Columns that an expression needs besides those of its state, and how they are added; rows stay the same."""
+
+    column: str
+    apply: Callable[[SparkFrame], SparkFrame]
+
+
+def ready(state: State, preps: tuple[Prep, ...]) -> State:
+    """The state with these columns added, each once."""
+    df = state.df
+    for p in preps:
+        if p.column not in df.columns:
+            df = p.apply(df)
+    return state if df is state.df else replace(state, df=df)
+
+
+def _in_blocks(state: State) -> bool:
+    in_order(state)
+    kind = state.df.schema[state.order[0].column].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return False
+    estimate = state.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) > ONE_TASK_BYTES
+
+
+def _with_block(df: SparkFrame, state: State, block: str) -> SparkFrame:
+    """Adds the block of each row by its first order key, numbered in row order."""
+    key = state.order[0]
+    kind = df.schema[key.column].dataType
+    c = F.col(key.column)
+    if isinstance(kind, T.TimestampType):
+        x = F.unix_micros(c).cast("double")
+    elif isinstance(kind, T.TimestampNTZType):  # in whole seconds, without passing through a time zone
+        x = F.unix_date(c.cast("date")).cast("double") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    else:
+        x = F.unix_date(c).cast("double") if isinstance(kind, T.DateType) else c.cast("double")
+    x = F.when(~F.isnan(x), x)
+    low, high = fresh(), fresh()
+    ends = df.agg(F.min(x).alias(low), F.max(x).alias(high))  # one row
+    place = F.least(F.floor((x - F.col(low)) / (F.col(high) - F.col(low)) * BLOCKS), F.lit(BLOCKS - 1))
+    place = F.when(F.col(high) > F.col(low), place).otherwise(F.lit(0))
+    if not key.ascending:
+        place = BLOCKS - 1 - place
+    isnan = F.isnan(c) if isinstance(kind, (T.FloatType, T.DoubleType)) else F.lit(False)
+    missing = F.lit(BLOCKS + 1 if key.nulls_last else -2)
+    nan = F.lit(BLOCKS if key.ascending else -1)  # NaN is the greatest value
+    place = F.when(c.isNull(), missing).when(isnan, nan).otherwise(place)
+    return df.crossJoin(F.broadcast(ends)).withColumn(block, place.cast("int")).drop(low, high)
+
+
+def _row_number(state: State) -> tuple[str, Prep]:
+    block, local, before, number = (fresh() for _ in range(4))
+
+    def apply(df: SparkFrame) -> SparkFrame:
+        df = _with_block(df, state, block)
+        counts = df.groupBy(block).agg(F.count(F.lit(1)).alias(before))
+        counts = counts.withColumn(before, F.coalesce(F.sum(before).over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        df = df.withColumn(local, F.row_number().over(Window.partitionBy(block).orderBy(*(k.spark() for k in state.order))))
+        return df.join(F.broadcast(counts), block).withColumn(number, F.col(local) + F.col(before) - 1).drop(block, local, before)
+
+    return number, Prep(number, apply)
+
+
+def _in_runs(state: State, values: dict[str, Callable[[WindowSpec], Column]], back: int, ahead: int) -> tuple[Prep, ...]:
+    """Columns of window expressions that reach at most ``back`` rows before and ``ahead`` rows after each row."""
+    number, numbered = _row_number(state)
+    run, own = fresh(), fresh()
+    size = max(RUN_ROWS, 4 * (back + ahead))
+
+    def apply(df: SparkFrame) -> SparkFrame:
+        at, place = F.floor(F.col(number) / size).cast("bigint"), F.col(number) % size
+        copies = F.array_compact(F.array(at, F.when(place >= size - back, at + 1), F.when(place < ahead, at - 1)))
+        df = df.withColumn(own, at).withColumn(run, F.explode(copies))
+        w = Window.partitionBy(run).orderBy(number)
+        df = df.withColumns({name: build(w) for name, build in values.items()})
+        return df.filter(F.col(run) == F.col(own)).drop(run, own)
+
+    return numbered, Prep(next(iter(values)), apply)
+
+
+def cumulative(state: State, c: Column, kind: T.DataType, name: str, skipna: bool = True) -> tuple[Column, tuple[Prep, ...]]:
     """Running sum, min, max or product. Missing values give missing results, with ``skipna=False`` from there on."""
-    running = in_order(state).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if not is_numeric(kind):
         raise UnsupportedOperationError(f"cum{name} requires numeric or boolean data")
     x = number(c, kind) if name in ("sum", "prod") or isinstance(kind, T.BooleanType) else c
-    value = {"sum": F.sum, "min": F.min, "max": F.max, "prod": F.product}[name](x).over(running)
+    fold = {"sum": F.sum, "min": F.min, "max": F.max, "prod": F.product}[name]
+    value, gone, preps = running(state, {"value": (fold, x, name), "gone": (F.bool_or, c.isNull(), "or")})
     if name == "prod" and (is_integer(kind) or isinstance(kind, T.BooleanType)):
         value = value.cast("bigint")
-    missing = c.isNull() if skipna else F.bool_or(c.isNull()).over(running)
-    return F.when(missing, F.lit(None)).otherwise(value)
+    return F.when(c.isNull() if skipna else gone, F.lit(None)).otherwise(value), preps
+
 
+_MERGE: dict[str, Callable[[Column, Column], Column]] = {
+    "sum": lambda a, b: F.when(a.isNull() | b.isNull(), F.coalesce(a, b)).otherwise(a + b),
+    "prod": lambda a, b: F.when(a.isNull() | b.isNull(), F.coalesce(a, b)).otherwise(a * b),
+    "min": lambda a, b: F.least(a, b),
+    "max": lambda a, b: F.greatest(a, b),
+    "or": lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)),
+}
 
-def shift(state: State, c: Column, periods: int, fill: Column | None = None) -> Column:
+
+#: What adds up the blocks before a block.
+_FOLD = {"sum": F.sum, "prod": F.product, "min": F.min, "max": F.max, "or": F.bool_or}
+
+
+def running(state: State, wanted: dict[str, tuple[Callable[[Column], Column], Column, str]]) -> tuple:
+    """Aggregates over all rows up to each row: their columns, and the preparations these need."""
+    folds = list(wanted.values())
+    if not _in_blocks(state):
+        w = in_order(state).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return (*(fold(x).over(w) for fold, x, _ in folds), ())
+    block = fresh()
+    made = [fresh() for _ in folds]
+
+    def apply(df: SparkFrame) -> SparkFrame:
+        df = _with_block(df, state, block)
+        sums = [fresh() for _ in folds]
+        totals = df.groupBy(block).agg(*(fold(x).alias(s) for (fold, x, _), s in zip(folds, sums, strict=True)))
+        earlier = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(block, *(_FOLD[how](F.col(s)).over(earlier).alias(s) for (_, _, how), s in zip(folds, sums, strict=True)))
+        local = Window.partitionBy(block).orderBy(*(k.spark() for k in state.order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        df = df.withColumns({m: fold(x).over(local) for (fold, x, _), m in zip(folds, made, strict=True)}).join(F.broadcast(totals), block)
+        df = df.withColumns({m: _MERGE[how](F.col(s), F.col(m)) for (_, _, how), m, s in zip(folds, made, sums, strict=True)})
+        return df.drop(block, *sums)
+
+    return (*(F.col(m) for m in made), (Prep(made[0], apply),))
+
+
+def shift(state: State, c: Column, periods: int, fill: Column | None = None) -> tuple[Column, tuple[Prep, ...]]:
     """The value ``periods`` rows before (after, if negative); ``fill`` stands in only beyond the edge."""
-    w = in_order(state)
+    in_order(state)
     if periods == 0:
-        return c
-    value = F.lag(c, periods).over(w) if periods > 0 else F.lead(c, -periods).over(w)
-    if fill is None:
-        return value
+        return c, ()
+    move = lambda x: (lambda w: F.lag(x, periods).over(w)) if periods > 0 else (lambda w: F.lead(x, -periods).over(w))
     # lag's own default takes only constants, so the edge is told by whether there is a row.
-    there = F.lag(F.lit(True), periods).over(w) if periods > 0 else F.lead(F.lit(True), -periods).over(w)
-    return F.when(there.isNull(), fill).otherwise(value)
+    builds = {"value": move(c)} | ({} if fill is None else {"there": move(F.lit(True))})
+    if _in_blocks(state):
+        names = {k: fresh() for k in builds}
+        preps = _in_runs(state, {names[k]: b for k, b in builds.items()}, max(periods, 0), max(-periods, 0))
+        found = {k: F.col(n) for k, n in names.items()}
+    else:
+        preps, found = (), {k: b(in_order(state)) for k, b in builds.items()}
+    return found["value"] if fill is None else F.when(found["there"].isNull(), fill).otherwise(found["value"]), preps
+
 
+def difference(state: State, c: Column, periods: int) -> tuple[Column, tuple[Prep, ...]]:
+    before, preps = shift(state, c, periods)
+    return c - before, preps
 
-def pct_change(state: State, c: Column, periods: int) -> Column:
-    before = shift(state, c, periods)
-    return divide(c.cast("double") - before.cast("double"), before)
+
+def pct_change(state: State, c: Column, periods: int) -> tuple[Column, tuple[Prep, ...]]:
+    before, preps = shift(state, c, periods)
+    return divide(c.cast("double") - before.cast("double"), before), preps
 
 
 def rank(state: State, c: Column, method: str, na_option: str, ascending: bool, pct: bool) -> Column:
@@ -102,38 +245,57 @@ def rank(state: State, c: Column, method: str, na_option: str, ascending: bool,
 class _Moving:
     """Aggregates over a frame of rows around each row, of a frame's numeric columns or of one series."""
 
-    def __init__(self, owner: DataFrame | Series, start: int, min_periods: int):
-        self._owner, self._min = owner, min_periods
-        self._rows = in_order(owner._state).rowsBetween(start, Window.currentRow)
+    def __init__(self, owner: DataFrame | Series, rows: int | None, min_periods: int):
+        in_order(owner._state)
+        self._owner, self._rows, self._min = owner, rows, min_periods
 
     def _apply(self, name: str, ddof: int = 1, numeric_only: bool = False) -> DataFrame | Series:
         from tessera.operators.series import Series
 
         owner = self._owner
         if isinstance(owner, Series):
-            return owner._with(self._value(owner._column, owner._kind(), name, ddof))
+            return owner._with(*self._value(owner._column, owner._kind(), name, ddof))
         kinds = owner._kinds()
         chosen = [c for c, k in kinds.items() if is_numeric(k)] if numeric_only else list(kinds)
-        columns = {c: self._value(F.col(owner._state.labels[c]), kinds[c], name, ddof) for c in chosen}
-        return owner._only(columns)
+        built = {c: self._value(F.col(owner._state.labels[c]), kinds[c], name, ddof) for c in chosen}
+        return owner._only({c: v for c, (v, _) in built.items()}, tuple(p for _, ps in built.values() for p in ps))
 
-    def _value(self, c: Column, kind: T.DataType, name: str, ddof: int) -> Column:
-        rows, least = self._rows, self._min
-        if name == "count":
-            enough = F.row_number().over(in_order(self._owner._state)) >= least
-            return F.when(enough, F.count(c).over(rows).cast("double"))
-        if not is_numeric(kind):
+    def _value(self, c: Column, kind: T.DataType, name: str, ddof: int) -> tuple[Column, tuple[Prep, ...]]:
+        least, state = self._min, self._owner._state
+        if name != "count" and not is_numeric(kind):
             raise UnsupportedOperationError(f"Window {name} requires numeric or boolean data")
-        x = number(c, kind).cast("double")
+        x = c if name == "count" else number(c, kind).cast("double")
         if name in ("std", "var"):
             least = max(least, 2 if ddof else 1)
-            f = {("std", 1): F.stddev_samp, ("std", 0): F.stddev_pop, ("var", 1): F.var_samp, ("var", 0): F.var_pop}[name, ddof]
+        fold = {"count": F.count, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp if ddof else F.stddev_pop, "var": F.var_samp if ddof else F.var_pop}[name]
+        builds = {"value": lambda w: fold(x).over(w), "seen": lambda w: (F.count(F.lit(1)) if name == "count" else F.count(c)).over(w)}
+        if self._rows is not None:
+            bounded = lambda w: w.rowsBetween(1 - self._rows, Window.currentRow)
+            if name == "count":  # min_periods counts rows from the start, which a full frame has had
+                least = min(least, self._rows)
+            if _in_blocks(state):
+                names = {k: fresh() for k in builds}
+                preps = _in_runs(state, {names[k]: (lambda w, b=b: b(bounded(w))) for k, b in builds.items()}, self._rows - 1, 0)
+                value, seen = F.col(names["value"]), F.col(names["seen"])
+            else:
+                w = bounded(in_order(state))
+                value, seen, preps = builds["value"](w), builds["seen"](w), ()
+        elif name in ("count", "sum", "min", "max"):
+            value, seen, preps = running(state, {"value": (fold, x, "sum" if name == "count" else name), "seen": (F.count, F.lit(1) if name == "count" else c, "sum")})
         else:
-            f = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[name]
-        value = f(x).over(rows)
+            # Means and variances of all rows so far, from sums that blocks can add up.
+            n, s, q, preps = running(state, {"n": (F.count, c, "sum"), "s": (F.sum, x, "sum"), "q": (F.sum, x * x, "sum")}) if _in_blocks(state) else (None, None, None, ())
+            if n is None:
+                w = in_order(state).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                value, seen = builds["value"](w), builds["seen"](w)
+            else:
+                spread = F.greatest((q - s * s / n) / F.when(n > (ddof if name != "mean" else 0), n - (ddof if name != "mean" else 0)), F.lit(0.0))
+                value, seen = F.when(n > 0, s / n) if name == "mean" else F.sqrt(spread) if name == "std" else spread, n
+        if name == "count":
+            return F.when(seen >= least, value.cast("double")), preps
         if name == "sum" and least == 0:
             value = F.coalesce(value, F.lit(0.0))
-        return F.when(F.count(c).over(rows) >= least, value)
+        return F.when(seen >= least, value), preps
 
     def count(self, numeric_only: bool = False) -> DataFrame | Series:
         return self._apply("count", numeric_only=numeric_only)
@@ -174,7 +336,7 @@ class Rolling(_Moving):
             raise ValueError("min_periods must be non-negative")
         if least > window:
             raise ValueError("min_periods must not exceed window")
-        super().__init__(owner, -(window - 1), least)
+        super().__init__(owner, window, least)
 
 
 class Expanding(_Moving):
@@ -185,4 +347,4 @@ class Expanding(_Moving):
             raise ValueError("min_periods must be an integer")
         if min_periods < 0:
             raise ValueError("min_periods must be non-negative")
-        super().__init__(owner, Window.unboundedPreceding, min_periods)
+        super().__init__(owner, None, min_periods)

@@ -14,6 +14,7 @@ from pandas.testing import assert_frame_equal, assert_series_equal
 
 import tessera as ts
 from tessera.errors import AlignmentError, SessionClosedError, UnorderedOperationError, UnsupportedOperationError
+from tessera.operators import windows
 
 BASE = pd.DataFrame(
     {
@@ -128,7 +129,38 @@ def test_join_by_index_self_and_errors(spark, session, f):
         f.merge(f, on="x", how="cross")
 
 
-def test_windows(f):
+@pytest.fixture(params=["one task", "blocks"])
+def plan(request, monkeypatch):
+    """Both plans of windows over the whole frame; the second is otherwise taken by large frames only."""
+    if request.param == "blocks":
+        monkeypatch.setattr(windows, "ONE_TASK_BYTES", -1)
+        monkeypatch.setattr(windows, "BLOCKS", 3)
+        monkeypatch.setattr(windows, "RUN_ROWS", 2)
+    return request.param
+
+
+def test_windows_by_declared_order(session, plan):
+    r = np.random.default_rng(1)
+    p = pd.DataFrame({"k": r.permutation(40), "t": pd.Timestamp("2024-03-31") + pd.to_timedelta(r.permutation(40), "h"), "v": np.where(r.random(40) < 0.2, np.nan, r.integers(-9, 9, 40))})
+    p.loc[3, "t"] = pd.NaT
+    for key, up, nulls in (("k", True, "last"), ("k", False, "last"), ("t", True, "last"), ("t", True, "first"), ("t", False, "first")):
+        f = session.from_pandas(p).sort_values(key, ascending=up, na_position=nulls)
+        q = p.sort_values(key, ascending=up, na_position=nulls)
+        s = f["v"]
+        assert (f.collect()["k"].to_numpy() == q.k.to_numpy()).all()
+        for got, want in (
+            (s.cumsum(), q.v.cumsum()), (s.cummax(skipna=False), q.v.cummax(skipna=False)), (s.shift(3), q.v.shift(3)), (s.shift(-2), q.v.shift(-2)), (s.diff(), q.v.diff()), (s.rolling(4, 2).mean(), q.v.rolling(4, 2).mean()),
+            (s.rolling(3).count() , q.v.rolling(3, 3).count().where(np.arange(40) >= 2)), (s.expanding(2).std(), q.v.expanding(2).std()), (s.expanding(1).max(), q.v.expanding(1).max()), (s.expanding(3).count(), q.v.expanding(1).count().where(np.arange(40) >= 2)),
+            (s.cumsum().shift(1) + s, q.v.cumsum().shift(1) + q.v), (s.expanding(1).mean(), q.v.expanding(1).mean()),
+        ):
+            np.testing.assert_allclose(got.collect().astype(float), want, atol=1e-9)
+        g = f.assign(a=s.cumsum(), b=s.rolling(2, 1).sum())
+        assert g[g["a"] > 0].collect()["b"].tolist() == pytest.approx(q.v.rolling(2, 1).sum()[q.v.cumsum() > 0].tolist(), nan_ok=True)
+        assert f[s.cumsum().isna()].collect().shape[0] == q.v.isna().sum()
+        assert s.cumsum().max() == q.v.cumsum().max()
+
+
+def test_windows(f, plan):
     p = BASE
     for name in ("cumsum", "cummin", "cummax", "cumprod"):
         for skipna in (True, False):
