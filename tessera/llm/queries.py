@@ -15,7 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import edited_copies, pictures
 
-    return edited_copies(spark, pictures(table(spark, sf_dir, "embeddings")))
+    # Drawing and describing take far longer than reading, so the few splits of a small table are dealt to all cores.
+    vectors = table(spark, sf_dir, "embeddings").repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")
+    return edited_copies(spark, pictures(vectors))
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
