@@ -300,7 +300,7 @@ def groupby_all_functions(t: Tables) -> DataFrame:
     return rounded(g, "m", "sd", "v", "md", digits=4)
 
 
-@query(f"SELECT brand, count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM ({_HOLES}) WHERE brand IS NOT NULL GROUP BY 1")
+@query(f"SELECT brand, count(*) AS n, coalesce(CAST(sum(size) AS BIGINT), 0) AS s FROM ({_HOLES}) WHERE brand IS NOT NULL GROUP BY 1")
 def groupby_dropna(t: Tables) -> DataFrame:
     return holes(t).assign(s=lambda d: d["size"]).groupby("brand", as_index=False).agg(n=("p_partkey", "size"), s=("s", "sum"))
 
