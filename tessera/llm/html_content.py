@@ -43,6 +43,10 @@ ENDS = {
 _TAG = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: End tags of the elements that are skipped whole, searched in the page as it is: lower-casing may change its length.
+_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in RAW | RCDATA}
+#: Attributes that end in the slash of a self-closed element; one in an unquoted value belongs to the value.
+_SELF_CLOSED = re.compile(r"""(?<!=)(?:^|[\s"']|[\s"'][^\s"'=>]+)/\Z""")
 
 OUTER, PLAIN, STRUCTURE, TEXTUAL = range(4)
 _KIND = {t: OUTER for t in ("", "html", "body")} | {t: STRUCTURE for t in "article aside nav header footer form main menu dialog figure search ul ol dl table fieldset".split()} | {t: TEXTUAL for t in "p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption summary label button legend caption".split()}
@@ -94,7 +98,7 @@ def parse(source: str) -> Page:
             if any(t == "a" for t, _ in stack):
                 linked[0] += len(text.strip())
 
-    at, low = 0, None
+    at = 0
     while True:
         m = _TAG.search(source, at)
         if m is None:
@@ -130,11 +134,10 @@ def parse(source: str) -> Page:
         if name in ("html", "body") and any(t == name for t, _ in stack):
             continue
         if name in RAW or name in RCDATA:
-            low = low if low is not None else source.lower()
-            end = low.find(f"</{name}", at)
-            if end < 0:
-                end = len(source)
-            at = end
+            if name in ("svg", "math") and _SELF_CLOSED.search(attrs):
+                continue
+            end = _END[name].search(source, at)
+            at = end.start() if end else len(source)
             stack.append((name, stack[-1][1]))
             continue
         if name in BLOCK:

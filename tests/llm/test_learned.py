@@ -92,6 +92,17 @@ def test_pages_of_the_table(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_text_after_raw_elements():
+    text = lambda s: [t for t in html_content.parse(s).text if t]
+    for icon in ("<svg/>", "<svg />", "<SVG class=i />", "<svg class='i'/>", '<svg viewBox="0 0 1 1" hidden/>', "<math/>"):
+        assert text(f"<body><p>one {icon}two</p><p>three</p>") == ["one two", "three"]
+        assert text(f"<body><p>one {icon}two</p><svg><text>no</text></svg><p>three</p>") == ["one two", "three"]
+    assert text("<body><p>one<svg class=i/><text>no</text></svg></p><p>two</p>") == ["one", "two"]
+    for name in ("script", "STYLE", "svg"):
+        assert text(f"<body><p>\u0130stanbul \u0130\u0130</p><{name}>var a</{name.swapcase()} ><p>two</p>") == ["\u0130stanbul \u0130\u0130", "two"]
+    assert text("<body><script>a </scripts> b</script><p>two</p>") == ["two"]
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<"), (4, "u", "<article><p>a &lt; b<p>c&amp;<br>d  e<script>x</script></article><!-- "), (None, "u", "<article><p>x</p></article>"), (5, "u", "<p" * 500), (6, "u", "<div>" * 3000 + "t")]
     rows += [(7, "u", "<nav><a href=/>menu</a></nav><article><h1>T</h1><p>one</p><div class='ad'>buy</div><p>two</p></article><div id=comments><p>nice</p></div>")] * 2
