@@ -94,6 +94,50 @@ def test_edited_copies(spark):
     assert media.edited_copies(spark, df.limit(0)).collect() == []
 
 
+def textures(n, side=96, seed=5):
+    """Smooth random pictures, unlike each other."""
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        x = sum(np.kron(r.normal(size=(side // k, side // k)), np.ones((k, k))) * w for k, w in ((3, 1), (6, 1.5), (12, 1)))
+        out.append(np.clip(128 + 30 * media._box(x[None].astype(np.float32), 1)[0] / 9, 0, 255).astype(np.uint8))
+    return out
+
+
+def all_pairs(pictures):
+    """Links of each picture with all others, and the least picture that can be reached, by comparing every pair."""
+    known = [media.describe(x.astype(np.float32)[None])[0] for x in pictures]
+    links = np.array([[i != j and media.agreeing(*known[min(i, j)], *known[max(i, j)]) >= media.AGREE for j in range(len(known))] for i in range(len(known))])
+    root = np.arange(len(known))
+    for _ in range(len(known)):
+        root = np.array([min(root[i], *root[links[i]]) if links[i].any() else root[i] for i in range(len(known))])
+    return links.sum(1), root
+
+
+def copies_of(spark, pictures):
+    df = spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in enumerate(pictures)], "media_id long, content binary")
+    got = {r.media_id: r for r in media.edited_copies(spark, df).collect()}
+    return np.array([got[i].n_links for i in range(len(pictures))]), np.array([got[i].component_id for i in range(len(pictures))])
+
+
+def test_distances_are_unsigned():
+    a = np.array([[0, 0, 0, 0]], np.int64)
+    b = np.array([[-1, 0, 0, 0], [7, 7, 7, 7]], np.int64)
+    assert [x.tolist() for x in media._nearest(a, b)] == [[1], [12]]
+
+
+def test_copies_that_share_a_hot_patch(spark, monkeypatch):
+    """Every picture carries the same patches, so centres are unrelated pictures; blocks are small."""
+    monkeypatch.setattr(media, "BLOCK_FILES", 7)
+    some = textures(12)
+    plain = some + [media.edited(x, 1 + i % 2) for i, x in enumerate(some)] + [np.roll(x, 2, 1)[:, 2:] for x in some[:6]]
+    for x in plain:
+        x[:36, :36] = some[0][:36, :36]
+    links, root = all_pairs(plain)
+    got_links, got_root = copies_of(spark, plain)
+    assert got_root.tolist() == root.tolist() and got_links.tolist() == links.tolist() and links.sum() > 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
