@@ -138,6 +138,22 @@ def test_copies_that_share_a_hot_patch(spark, monkeypatch):
     assert got_root.tolist() == root.tolist() and got_links.tolist() == links.tolist() and links.sum() > 0
 
 
+def test_candidates_against_all_pairs(spark):
+    """Turned, darkened and noisy copies, and some at three quarters of the size: all that agree are linked."""
+    r = np.random.default_rng(3)
+    some = textures(16, seed=6)
+    half = np.arange(72) * 4 // 3
+    plain = some + [np.rot90(x).copy() for x in some] + [np.clip(x + r.normal(0, 25, x.shape), 0, 255).astype(np.uint8) for x in some] + [x[half][:, half] for x in some]
+    links, root = all_pairs(plain)
+    got_links, got_root = copies_of(spark, plain)
+    assert got_links.tolist() == links.tolist() and got_root.tolist() == root.tolist()
+    known = [media.describe(x.astype(np.float32)[None])[0] for x in plain]
+    keys = [np.unique(media.table_keys(d)) for _, d in known]
+    votes = np.stack(list(media.shared_keys(keys, keys)))
+    agree = np.array([[i < j and media.agreeing(*known[i], *known[j]) >= media.AGREE for j in range(len(known))] for i in range(len(known))])
+    assert (votes[agree] >= media.SHARED_KEYS).all() and agree.sum() >= 32
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
