@@ -154,6 +154,15 @@ def test_candidates_against_all_pairs(spark):
     assert (votes[agree] >= media.SHARED_KEYS).all() and agree.sum() >= 32
 
 
+def test_links_of_a_group_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK_FILES", 5)
+    x = textures(1)[0].astype(np.int64)
+    group = [np.clip(x * (0.7 + 0.02 * i) + i, 0, 255).astype(np.uint8) for i in range(14)]
+    links, _ = all_pairs(group)
+    got, root = copies_of(spark, group)
+    assert links.tolist() == [13] * 14 and got.tolist() == [13] * 14 and not root.any()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
