@@ -163,6 +163,27 @@ def test_links_of_a_group_are_all_counted(spark, monkeypatch):
     assert links.tolist() == [13] * 14 and got.tolist() == [13] * 14 and not root.any()
 
 
+def test_batched_agreement_is_the_same():
+    r = np.random.default_rng(8)
+    plain = [media.draw(v / np.linalg.norm(v)) for v in r.normal(size=(40, 64))]
+    plain += [media.edited(x, i % 6) for i, x in enumerate(plain)] + [np.zeros((40, 40), np.uint8)] + textures(2, 240)
+    known = [media.describe(x.astype(np.float32)[None])[0] for x in plain]
+    assert max(len(c) for c, _ in known) > media.WIDE
+    others = media.Corners(*map(list, zip(*known, strict=True)))
+    for i in (0, 3, 43, 44, 80, 81, 82):
+        wanted = np.arange(len(plain)) % 4 != 1
+        want = [w and media.agreeing(*known[i], *k) >= media.AGREE for w, k in zip(wanted, known, strict=True)]
+        assert media.agreements(*known[i], others, wanted).tolist() == want
+
+
+def test_small_crops_of_a_large_image():
+    large = textures(1, 480)[0]
+    whole = media.describe(large.astype(np.float32)[None])[0]
+    for at in (0, 130, 380):
+        crop = media.describe(large[at : at + 100, 50:150].astype(np.float32)[None])[0]  # 4 % of the area
+        assert media.agreeing(*whole, *crop) >= media.AGREE
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
