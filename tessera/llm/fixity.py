@@ -44,7 +44,7 @@ def archive(pages: DataFrame, body: Column | None = None) -> DataFrame:
 
 def leaves(records: DataFrame) -> DataFrame:
     """One row for each archive and offset; records that repeat at an offset are folded into one digest, in any order."""
-    many = F.sha2(F.concat_ws(",", F.min("digest"), F.max("digest"), F.expr("bit_xor(xxhash64(digest))").cast("string"), F.count(F.lit(1)).cast("string")), 256)
+    many = F.sha2(F.concat_ws(",", F.min("digest"), F.max("digest"), F.sum(F.xxhash64("digest").cast("decimal(20,0)")).cast("string"), F.count(F.lit(1)).cast("string")), 256)
     return (
         records.filter("archive is not null and offset is not null")
         .groupBy("archive", "offset")

@@ -44,6 +44,14 @@ def test_audit_deep_trees_and_odd_rows(spark):
     assert fixity.audit(spark, spark.createDataFrame(rows, schema), empty).count() == n
 
 
+def test_audit_records_repeated_in_pairs(spark):
+    schema = "archive long, offset long, length long, digest string"
+    side = lambda digests: spark.createDataFrame([(0, 0, 1, d) for d in digests] + [(0, 9, 1, "x")], schema)
+    found = lambda a, b: [(r.offset, r.fault) for r in fixity.audit(spark, side(a), side(b)).collect()]
+    assert found("abbz", "accz") == [(0, "changed")] and found("abbbz", "abccz") == [(0, "changed")]
+    assert found("abbz", "bzab") == []
+
+
 def png(x: np.ndarray, filt: int) -> bytes:
     chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
     h, w = x.shape
