@@ -28,12 +28,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: that with the least id. Repeated rows count as copies."""
-    docs = docs.select(*COLUMNS)
-    groups = near_duplicates(spark, docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    kept = written(spark, groups.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct())
-    left = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-    return left.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
+    """Keeps one document of each group of near-duplicates: that with the least id. Repeated rows count as copies.
+
+    What is kept is a row of id and text, so rows with null or repeated ids are each judged by their own text; a null
+    id comes last, and of rows with the same id one stays. A text without words is a group of its own.
+    """
+    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
+    groups = near_duplicates(spark, docs.select(F.col("row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    named = groups.select(F.col("doc_id").alias("row"), "component_id").distinct().join(docs.select("row", "doc_id").distinct(), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"))
+    kept = written(spark, first.select("m.row"))
+    return docs.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

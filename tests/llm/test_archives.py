@@ -192,6 +192,17 @@ def test_small_crops_of_a_large_image():
         assert media.agreeing(*whole, *crop) >= media.AGREE
 
 
+def test_near_dedup_judges_rows(spark):
+    from tessera.llm import stages
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(1) + " more"), (None, text(2)), (None, text(3)), (3, text(2)), (4, text(5)), (7, text(4)), (7, text(5)), (8, text(4)), (9, text(3) + " end"), (9, text(3) + " end")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text.split()[0]) for r in stages.near_dedup(spark, df, SMALL).collect()]
+    assert sorted(got, key=str) == sorted([(None, "w1x0"), (3, "w2x0"), (4, "w5x0"), (7, "w4x0"), (9, "w3x0")], key=str)
+    assert stages.near_dedup(spark, df.limit(0), SMALL).collect() == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
