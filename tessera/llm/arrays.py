@@ -7,6 +7,7 @@ pre-tokens are index arrays instead of Python strings.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,7 @@ import pyarrow as pa
 #: Bytes of text handled at once by one task; it bounds the temporary arrays (about 40 times this).
 CHUNK_BYTES = 3 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,29 +60,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``n`` of them."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = (n + (1 << 18) - 1) >> 18 << 18
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("_powers", _BASE), ("_inverse", inverse)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            globals()[name] = np.multiply.accumulate(out)
-    return _powers, _inverse
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ordered pairs of hashes; no polynomial, so sequences with a pattern collide no more than others."""
+    return mix(mix(a + _LEFT) ^ (b * _RIGHT))
 
 
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``values[start:end]`` by differences of one running polynomial."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def sliding_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each ``width`` consecutive values, by doubling."""
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out = joined(out[: len(out) - step], out[step:])
+        have += step
+    return out
 
 
-def byte_range_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hashes(_BYTE[body], starts, ends)
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``values[start:end]`` (none empty): of its two runs whose length is the greatest power of two in it."""
+    size = ends - starts
+    out = np.zeros(len(size), np.uint64)
+    level, have = values, 1
+    while len(size) and have <= size.max():
+        here = np.flatnonzero((size >= have) & (size < 2 * have))
+        out[here] = joined(level[starts[here]], level[ends[here] - have]) + size[here].astype(np.uint64)
+        level, have = joined(level[: max(0, len(level) - have)], level[have:]), 2 * have
+    return mix(out)
+
+
+def slices(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The slices as an Arrow array; without copying where each begins at the end of the one before."""
+    if len(starts) and (starts[1:] == ends[:-1]).all():
+        return binary_array(body, np.append(starts, ends[-1]))
+    return binary_array(*gather(body, starts, ends))
+
+
+def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2 digest of each slice; a batch's equal slices are found by their bytes and digested once."""
+    coded = slices(body, starts, ends).dictionary_encode()
+    of = np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], np.uint64)
+    return of[coded.indices.to_numpy()] if len(of) else np.zeros(0, np.uint64)
 
 
 def is_space(body: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import byte_range_hashes, chunks, code_points, gather, text_buffers
+from .arrays import CHUNK_BYTES, chunks, code_points, gather, slices, text_buffers
 
-#: Distinct pre-tokens that a worker keeps encoded; beyond it the cache starts afresh. Bounds memory, not results.
-CACHE_WORDS = 1_000_000
+#: Distinct pre-tokens, and bytes of them, that a worker keeps encoded; beyond either the cache starts afresh. They bound memory, not results.
+CACHE_WORDS, CACHE_BYTES = 500_000, 16 << 20
+#: Symbols from which a sequence is merged by :func:`merge_long`.
+LONG = 256
 
 # --- classes and the automaton of pre-token borders -------------------------------------------------------
 
@@ -153,6 +156,20 @@ def borders(body: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.concatenate([at, [len(body)]])[np.flatnonzero(edge)]
 
 
+def safe_cuts(body: np.ndarray, every: int) -> np.ndarray:
+    """About one offset in each ``every`` bytes where a pre-token starts whatever stands before: an ASCII character that
+    is no letter, after an ASCII letter. A stretch without such a place is not cut."""
+    out = []
+    for a in range(every, len(body), every):
+        window = body[a - every // 2 : a]
+        low = window | 32
+        letter = (low >= 97) & (low <= 122)
+        hit = np.flatnonzero(letter[:-1] & ~letter[1:] & (window[1:] < 128))
+        if len(hit):
+            out.append(a - every // 2 + int(hit[-1]) + 1)
+    return np.array(out, np.int64)
+
+
 # --- merging ----------------------------------------------------------------------------------------------
 
 
@@ -165,6 +182,13 @@ class Merges:
         self.key, self.rank = key[order], rank[order].astype(np.int64)
         self.made = np.zeros(int(rank.max()) + 1 if len(rank) else 1, np.int64)
         self.made[rank] = made
+        # Symbols that are in a pair of lower rank than made them: such a pair may come up and must be merged first.
+        made_at = dict(zip(made.tolist(), rank.tolist(), strict=True))
+        born = lambda side: np.array([made_at.get(x, -1) for x in side.tolist()], np.int64)
+        self.early = np.zeros(len(self.made), bool)
+        for side in (left, right):
+            at = born(side)
+            self.early[at[(at >= 0) & (rank < at)]] = True
         self.none = np.int64(1 << 60)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -179,6 +203,19 @@ def merge_all(symbols: np.ndarray, off: np.ndarray, table: Merges) -> tuple[np.n
     A round finds each sequence's lowest rank (leftmost on ties), merges that one pair in every sequence at
     once, and looks up only the two pairs that changed. Finished sequences leave the working arrays.
     """
+    whole = np.diff(off)
+    if len(whole) and whole.max() >= LONG:
+        is_long = whole >= LONG
+        long, short = np.flatnonzero(is_long), np.flatnonzero(~is_long)
+        parts = [merge_long(*gather(symbols, off[long], off[long + 1]), table), merge_all(*gather(symbols, off[short], off[short + 1]), table)]
+        size = np.zeros(len(whole), np.int64)
+        for rows, (_, ends) in zip((long, short), parts, strict=True):
+            size[rows] = np.diff(ends)
+        final = np.append(0, np.cumsum(size))
+        out = np.zeros(final[-1], np.int64)
+        for rows, (body, ends) in zip((long, short), parts, strict=True):
+            out[np.arange(len(body)) + np.repeat(final[rows] - ends[:-1], np.diff(ends))] = body
+        return out, final
     count = np.diff(off)
     n = len(count)
     out_len = count.copy()
@@ -231,46 +268,124 @@ def merge_all(symbols: np.ndarray, off: np.ndarray, table: Merges) -> tuple[np.n
     return out, final
 
 
+def merge_long(symbols: np.ndarray, off: np.ndarray, table: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """The same for long sequences: linked symbols and the places of each rank, so that a merge touches only its neighbours.
+
+    The lowest rank that is left is merged at all its places in a round. It is the sequences' lowest rank until one is
+    merged whose symbol is in a pair of lower rank; then the places behind it in that sequence wait for that pair.
+    """
+    n = len(symbols)
+    sym, text = symbols.astype(np.int32 if int(table.made.max(initial=0)) < 1 << 30 and int(symbols.max(initial=0)) < 1 << 30 else np.int64), np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    filled = np.diff(off) > 0
+    after[off[1:][filled] - 1] = -1
+    before[off[:-1][filled]] = -1
+    places: dict[int, list[np.ndarray]] = {}
+    waiting: list[int] = []
+
+    def put(at: np.ndarray, rank: np.ndarray) -> None:
+        some = rank != table.none
+        at, rank = at[some], rank[some]
+        if not len(at):
+            return
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        cut = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+        for r, part in zip(rank[cut].tolist(), np.split(at, cut[1:]), strict=True):
+            if r not in places:
+                places[r] = []
+                heapq.heappush(waiting, r)
+            places[r].append(part)
+
+    def rank_at(at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that starts at each place."""
+        out = np.full(len(at), table.none)
+        some = np.flatnonzero(after[at] >= 0)
+        out[some] = table.ranks(sym[at[some]], sym[after[at[some]]])
+        return out
+
+    for a in range(0, n, 1 << 20):
+        at = np.arange(a, min(n, a + (1 << 20)), dtype=np.int32)
+        put(at, rank_at(at))
+    while waiting:
+        r = heapq.heappop(waiting)
+        at = np.unique(np.concatenate(places.pop(r)))
+        at = at[sym[at] >= 0]  # symbols that were merged into their left one are -1
+        at = at[rank_at(at) == r]
+        if not len(at):
+            continue
+        # Of places that overlap, each begins where the one before ends; every second of such a run is merged.
+        joins = np.append(False, after[at[:-1]] == at[1:])
+        first = np.maximum.accumulate(np.where(joins, 0, np.arange(len(at))))
+        at = at[(np.arange(len(at)) - first) % 2 == 0]
+        made = table.made[r]
+        if table.early[r]:
+            # What sequential merging would see on either side of a new symbol when it is made.
+            left, right = before[at], after[after[at]]
+            new_left = np.append(False, left[1:] == after[at[:-1]])
+            as_left = np.where(new_left, made, sym[left])
+            low = (left >= 0) & (table.ranks(as_left, np.full(len(at), made)) < r)
+            low |= (right >= 0) & (table.ranks(np.full(len(at), made), sym[right]) < r)
+            if low.any():
+                stop = np.full(len(off), n, np.int64)  # first place in each sequence after which a lower rank comes up
+                hit = np.flatnonzero(low)[::-1]
+                stop[text[at[hit]]] = at[hit]
+                wait = at > stop[text[at]]
+                put(at[wait], np.full(wait.sum(), r))
+                at = at[~wait]
+        gone = after[at]
+        then = after[gone]
+        sym[at], sym[gone] = made, -1
+        after[at] = then
+        back = then >= 0
+        before[then[back]] = at[back]
+        changed = np.concatenate([before[at][before[at] >= 0], at])
+        changed = np.unique(changed)
+        put(changed, rank_at(changed))
+    left = np.flatnonzero(sym >= 0)
+    return sym[left].astype(np.int64), np.searchsorted(left, off)
+
+
 class SliceCache:
-    """What ``learn`` gives for byte slices, kept by 64-bit hash in sorted arrays for the worker's lifetime."""
+    """What ``learn`` gives for byte slices, kept by the slices' bytes for the worker's lifetime."""
 
     def __init__(self, learn):
         self.learn = learn
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.place: dict[bytes, int] = {}
+        self.bytes = 0
+        self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def lookup(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Code of each slice among the distinct ones, and the distinct ones' values with their offsets."""
-        coded = pa.array(byte_range_hashes(body, starts, ends)).dictionary_encode()
-        code, key = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        place = np.searchsorted(self.key, key)
-        known = np.zeros(len(key), bool)
-        inside = place < len(self.key)
-        known[inside] = self.key[place[inside]] == key[inside]
-        if not known.all():
-            one = np.zeros(len(key), np.int64)
-            one[code[::-1]] = np.arange(len(code))[::-1]  # a slice with that code
-            fresh = np.flatnonzero(~known)
-            values, off = self.learn(*gather(body, starts[one[fresh]], ends[one[fresh]]))
-            if len(self.key) + len(fresh) > CACHE_WORDS:
-                held = np.flatnonzero(known)
-                old = gather(self.flat, self.at[place[held]], self.at[place[held]] + self.size[place[held]])
+        coded = slices(body, starts, ends).dictionary_encode()
+        key = coded.dictionary
+        names = key.to_pylist()
+        place = np.array([self.place.get(w, -1) for w in names], np.int64)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            raw, edge = text_buffers(key)
+            values, off = self.learn(*gather(raw, edge[fresh], edge[fresh + 1]))
+            size = int((edge[fresh + 1] - edge[fresh]).sum())
+            if len(self.place) + len(fresh) > CACHE_WORDS or self.bytes + size > CACHE_BYTES:
+                held = np.flatnonzero(place >= 0)
+                old, old_off = gather(self.flat, self.at[place[held]], self.at[place[held] + 1])
                 self.clear()
-                self._add(key[held], *old)
-            self._add(key[fresh], values, off)
-            place = np.searchsorted(self.key, key)
-        flat, off = gather(self.flat, self.at[place], self.at[place] + self.size[place])
-        return code, flat, off
-
-    def _add(self, key: np.ndarray, values: np.ndarray, off: np.ndarray) -> None:
-        order = np.argsort(key)
-        where = np.searchsorted(self.key, key[order])
-        self.at = np.insert(self.at, where, off[:-1][order] + len(self.flat))
-        self.size = np.insert(self.size, where, np.diff(off)[order])
-        self.key = np.insert(self.key, where, key[order])
+                place[held] = self._add([names[i] for i in held.tolist()], old, old_off)
+            place[fresh] = self._add([names[i] for i in fresh.tolist()], values, off)
+            self.bytes += size
+        flat, off = gather(self.flat, self.at[place], self.at[place + 1])
+        return coded.indices.to_numpy(), flat, off
+
+    def _add(self, names: list[bytes], values: np.ndarray, off: np.ndarray) -> np.ndarray:
+        first = len(self.at) - 1
+        self.at = np.concatenate([self.at, off[1:] + len(self.flat)])
         self.flat = np.concatenate([self.flat, values])
+        numbers = range(first, first + len(names))
+        self.place.update(zip(names, numbers, strict=True))
+        return np.arange(first, first + len(names))
 
 
 class ByteBPE:
@@ -299,6 +414,20 @@ class ByteBPE:
         return ids.astype(np.uint32), ends
 
     def _ordinary(self, body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, a bounded stretch at a time: a long text is cut where a pre-token starts whatever stands before."""
+        if len(body) <= 2 * CHUNK_BYTES:
+            return self._stretch(body, off)
+        cuts = np.unique(np.concatenate([off, safe_cuts(body, CHUNK_BYTES)]))
+        ids, ends, a = [], [np.zeros(1, np.int64)], 0
+        while a < len(cuts) - 1:
+            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + CHUNK_BYTES, "right")) - 1)
+            part, part_ends = self._stretch(body[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+            ids.append(part)
+            ends.append(part_ends[1:] + ends[-1][-1])
+            a = b
+        return np.concatenate(ids), np.concatenate(ends)[np.searchsorted(cuts, off)]
+
+    def _stretch(self, body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = borders(body, off)
         if len(edge) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
@@ -358,7 +487,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Columns: the id, ``n_tokens``, ``ids_sha256`` (little-endian unsigned 32-bit ids), ``decoded_sha256`` and
     ``round_trip`` (the decoded bytes are the text's). A null text is empty and has no tokens; repeated rows and
-    null ids are each answered; an empty table gives none; other columns are not read.
+    null ids are each answered; an empty table gives none; other columns are not read. A long text is encoded a stretch
+    at a time; memory beyond the text, its ids and its decoded bytes (about ten times the text) grows only with its
+    longest stretch without an ASCII letter before another ASCII character, at about 60 bytes a byte.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,57 @@ def test_cache_restarts(monkeypatch):
         assert ids_of(enc, ODD) == [LIB.encode_ordinary(t) for t in ODD]
 
 
+def thue_morse(n, a, b):
+    """Two different words that polynomial hashes modulo a power of two cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("pair", ["ab", "th"])
+def test_texts_alike_to_polynomial_hashes(pair):
+    texts = thue_morse(2048, *pair)
+    enc = bpe.ByteBPE(RANKS)
+    assert ids_of(enc, texts) == [LIB.encode_ordinary(t) for t in texts]
+    assert ids_of(enc, texts[::-1]) == [LIB.encode_ordinary(t) for t in texts[::-1]]
+    body, off = text_buffers(pa.array(texts))
+    assert token_counts.counter(P.path("piece_bpe_32k.model")).count(body, off).tolist() == [len(x) for x in PIECES.encode(list(texts))]
+
+
+def test_long_pretokens():
+    r = random.Random(4)
+    texts = ["a" * 999, "ab" * 700, *("".join(r.choice(c) for _ in range(n)) for c in ("etaoinsh", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "กขคงจฉชสดตถทนบปผพมยรลวศหอ", "the of and ing er") for n in (257, 4000, 30000))]
+    assert ids_of(bpe.ByteBPE(RANKS), texts) == [LIB.encode_ordinary(t) for t in texts]
+    body, off = text_buffers(pa.array(texts))
+    assert token_counts.counter(P.path("piece_bpe_32k.model")).count(body, off).tolist() == [len(x) for x in PIECES.encode(texts)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc", max_size=40), min_size=1, max_size=4), st.integers(0, 99))
+def test_long_merging_is_the_same(texts, seed):
+    r = random.Random(seed)
+    pool = ["a", "b", "c"]
+    while len(pool) < 15:
+        pool.append(r.choice(pool) + r.choice(pool))
+    words_ = list(dict.fromkeys(pool))
+    r.shuffle(words_)  # in any order: pairs of lower rank come up late
+    rank = {w: i for i, w in enumerate(words_)}
+    rows = [(rank[w[:k]], rank[w[k:]], rank[w], rank[w]) for w in words_ for k in range(1, len(w)) if w[:k] in rank and w[k:] in rank]
+    table = bpe.Merges(*np.array(rows, np.int64).T)
+    flat, off = np.array([rank[c] for t in texts for c in t], np.int64), np.append(0, np.cumsum([len(t) for t in texts]))
+    one, two = bpe.merge_all(flat, off, table), bpe.merge_long(flat, off, table)
+    assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist()
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice(["word ", "x'll ", "1234", "日本", "  ", "\n\n", "é", "▁", " ▁a", "!"]) for _ in range(n)) for n in (3000, 7, 900)] + ["", "a" * 900]
+    for module in (bpe, token_counts):
+        monkeypatch.setattr(module, "CHUNK_BYTES", 64)
+    assert ids_of(bpe.ByteBPE(RANKS), texts) == [LIB.encode_ordinary(t) for t in texts]
+    pieces = token_counts.counter(P.path("piece_bpe_32k.model"))
+    assert [pieces.count(*text_buffers(pa.array([t])))[0] for t in texts] == [len(x) for x in PIECES.encode(texts)]
+
+
 def test_arrays():
     assert [c.num_rows for c in chunks([pa.RecordBatch.from_pydict({"text": ["aaaa", None, "bb", "c" * 9, ""]})], "text", 6)] == [3, 1, 1]
     texts = ["aé日😀", "", "x"]
