@@ -15,6 +15,9 @@ import pyarrow as pa
 #: Bytes of text handled at once by one task; it bounds the temporary arrays (about 40 times this).
 CHUNK_BYTES = 3 << 20
 
+#: Bytes beyond which a slice's hash is taken from a digest.
+LONG_WORD = 4096
+
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -95,10 +98,54 @@ def slices(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of the BLAKE2 digest of each slice; a batch's equal slices are found by their bytes and digested once."""
-    coded = slices(body, starts, ends).dictionary_encode()
-    of = np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in coded.dictionary.to_pylist()], np.uint64)
-    return of[coded.indices.to_numpy()] if len(of) else np.zeros(0, np.uint64)
+    """64-bit hashes of slices: eight bytes at a time are stirred in, so slices of up to eight bytes never collide.
+
+    Slices above ``LONG_WORD`` bytes have 64 bits of their BLAKE2 digest.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _LEFT)
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(body) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, rest = starts[live], size[live]
+    while len(live):
+        block = eight[at]
+        short = np.flatnonzero(rest < 8)
+        block[short] &= (np.uint64(1) << (rest[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        out[live] = mix(out[live] * _RIGHT ^ block)
+        more = np.flatnonzero(rest > 8)
+        live, at, rest = live[more], at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = int.from_bytes(blake2b(body[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def sequence_digests(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray, size: int = 16) -> list[bytes]:
+    """BLAKE2 digest of each run ``first:last`` of slices, joined by one space."""
+    ends_in_space = np.append(body, np.uint8(32))
+    out, at = [], 0
+    while at < len(first):
+        to, words_ = at + 1, int(last[at] - first[at])
+        while to < len(first) and words_ + int(last[to] - first[to]) <= CHUNK_BYTES >> 2:
+            words_ += int(last[to] - first[to])
+            to += 1
+        if words_ <= CHUNK_BYTES >> 2:
+            row, place = spread(last[at:to] - first[at:to])
+            item = first[at:to][row] + place
+            flat, off = gather(ends_in_space, starts[item], ends[item] + 1)
+            flat[off[1:] - 1] = 32
+            view, edge = memoryview(flat), off[np.append(0, np.cumsum(last[at:to] - first[at:to]))].tolist()
+            out += [blake2b(view[a:b], digest_size=size).digest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        else:  # one long run, a stretch at a time
+            digest = blake2b(digest_size=size)
+            for a in range(int(first[at]), int(last[at]), CHUNK_BYTES >> 3):
+                b = min(a + (CHUNK_BYTES >> 3), int(last[at]))
+                flat, off = gather(ends_in_space, starts[a:b], ends[a:b] + 1)
+                flat[off[1:] - 1] = 32
+                digest.update(flat)
+            out.append(digest.digest())
+        at = to
+    return out
 
 
 def is_space(body: np.ndarray) -> np.ndarray:

@@ -1,13 +1,15 @@
 """Near-duplicates by b-bit MinHash.
 
-Each text becomes its set of word shingles; equal sets are one *class* from then on, so exact copies cost one row.
+Texts of the same words in the same order are one *class* from then on, by a cryptographic digest of their words, so
+exact copies cost one row; classes with equal sets are links like any others. A class is its set of word shingles, each
+a 64-bit hash.
 A class has ``BANDS * ROWS`` minima; whole minima make the band keys, and only their low eight bits are kept as the
 packed signature. Classes that share a band key are candidates; the number of agreeing bytes, corrected for chance
 collisions, drops pairs that are far below the threshold; the rest is confirmed on the full sets.
 
 No bucket is paired out. First every class of a bucket is compared with the bucket's centre alone, the class whose band
 keys are the most common: among edited copies of a text that is the text itself, which the copies resemble more than
-each other. A bucket in which the centre is not linked with all others, of which there are several, stays open. Open buckets
+each other. A centre's pairs are dealt to several tasks. A bucket in which the centre is not linked with all others, of which there are several, stays open. Open buckets
 that share classes make a group, groups are dealt into blocks of bounded size, and each pair of blocks is compared at once
 by a product of 0/1 matrices, which gives all intersections exactly; only links leave the task, and no more of them
 than join its classes. So every candidate pair is either compared or already connected, whatever a group's size.
@@ -22,18 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import byte_range_hashes, chunks, lower_ascii, mix, range_hashes, text_buffers, words
+from .arrays import chunks, lower_ascii, mix, range_hashes, sequence_digests, sliding_hashes, text_buffers, word_hashes, words
 from .components import components
 from .shared import written
 
 BANDS, ROWS = 28, 4
 MINIMA = BANDS * ROWS
 #: Classes, and shingles of their sets, that one block of an open group holds.
-BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 1 << 20
+BLOCK_CLASSES, BLOCK_SHINGLES = 768, 1 << 20
+#: Pairs of one class that meet one copy of its text.
+PAIRS_A_COPY = 64
 #: Standard deviations by which a signature's estimate may fall short before a pair is dropped unseen.
 SLACK = 6
-#: Texts handled at once; their number shares a 64-bit word with the shingle's hash.
-_ROWS_BITS = 11
+#: Texts handled at once.
+_ROWS = 2048
 
 _rng = np.random.default_rng(7077)
 _A = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -41,52 +45,56 @@ _B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
-def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (row << 53 | hash) of each row's distinct shingles, and each row's first place among them.
+def _in_rows(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows sorted by row, then key."""
+    order = np.argsort(keys)
+    order = order[np.argsort(row[order].astype(np.uint16), kind="stable")]
+    return keys[order], row[order]
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer than ``size`` words is one shingle.
+
+def shingle_sets(column: pa.Array, size: int, digests: bool = False) -> tuple:
+    """Hashes of each row's distinct shingles in order, each row's first place among them, and digests of the rows' words.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer than ``size`` words is one shingle. At
+    most ``_ROWS`` rows. A long text takes about 15 bytes of memory a byte.
     """
     body, off = text_buffers(column)
     body = lower_ascii(body)
     starts, ends, first = words(body, off)
-    hashes = byte_range_hashes(body, starts, ends)
+    hashes = word_hashes(body, starts, ends)
     count = np.diff(first)
-    number = np.where(count >= size, count - size + 1, np.minimum(count, 1))
-    row = np.repeat(np.arange(len(count)), number)
+    long = np.flatnonzero(count >= size)
+    number = count[long] - size + 1
+    row = np.repeat(long, number)
     begin = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
-    end = begin + np.minimum(size, count[row])
-    low = np.uint64(64 - _ROWS_BITS)
-    keys = (row.astype(np.uint64) << low) | (range_hashes(hashes, begin, end) >> np.uint64(_ROWS_BITS))
-    keys.sort()
+    wide = sliding_hashes(hashes, size) if len(long) else hashes[:0]
+    short = np.flatnonzero((count > 0) & (count < size))
+    keys = np.concatenate([wide[begin], range_hashes(hashes, first[short], first[short + 1])])
+    keys, row = _in_rows(keys, np.concatenate([row, short]))
     if len(keys):
-        keys = keys[np.append(True, keys[1:] != keys[:-1])]
-    return keys, np.searchsorted(keys, np.arange(len(count) + 1, dtype=np.uint64) << low)
-
-
-def _set_hash(keys: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Order-free 64-bit hash of each row's set; 0 for an empty one."""
-    total = np.zeros(len(keys) + 1, np.uint64)
-    np.cumsum(mix(keys << np.uint64(_ROWS_BITS)), out=total[1:])
-    return mix(total[edge[1:]] - total[edge[:-1]])
+        new = np.append(True, (keys[1:] != keys[:-1]) | (row[1:] != row[:-1]))
+        keys, row = keys[new], row[new]
+    edge = np.searchsorted(row, np.arange(len(count) + 1))
+    return (keys, edge, sequence_digests(body, starts, ends, first[:-1], first[1:])) if digests else (keys, edge)
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, text):
-        for at in range(0, batch.num_rows, 1 << _ROWS_BITS):
-            yield batch.slice(at, 1 << _ROWS_BITS)
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), node (hash of the set), sig (bytes of the minima as longs), bands (their keys)."""
+    """doc_id, n (set size), digest (of the words), sig (bytes of the minima as longs), bands (their keys)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, "text"):
-            keys, edge = shingle_sets(batch.column(1), size)
+            keys, edge, digests = shingle_sets(batch.column(1), size, digests=True)
             n = np.diff(edge)
             some = np.flatnonzero(n)
             minima = np.zeros((MINIMA, batch.num_rows), np.uint32)
             if len(some):
-                x = mix(keys << np.uint64(_ROWS_BITS)).astype(np.uint32)
+                x = mix(keys).astype(np.uint32)
                 for k in range(MINIMA):
                     minima[k, some] = np.minimum.reduceat(x * _A[k] + _B[k], edge[some])
             sig = np.ascontiguousarray((minima & np.uint32(255)).astype(np.uint8).T).view(np.int64).ravel()
@@ -100,14 +108,14 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 [
                     batch.column(0),
                     pa.array(n),
-                    pa.array(_set_hash(keys, edge).view(np.int64)),
+                    pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(offset(MINIMA // 8), pa.array(sig)),
                     pa.ListArray.from_arrays(offset(BANDS), pa.array(np.ascontiguousarray(bands))),
                 ],
-                ["doc_id", "n", "node", "sig", "bands"],
+                ["doc_id", "n", "digest", "sig", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sig array<long>, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, sig array<long>, bands array<long>")
 
 
 def agreeing(a: str, b: str) -> Column:
@@ -135,12 +143,11 @@ def confirm(pairs: DataFrame, percent: int, size: int) -> DataFrame:
         for batch in _pieces(batches, "ta"):
             a, b, ta, tb = batch.columns
             (ka, ea), (kb, eb) = shingle_sets(ta, size), shingle_sets(tb, size)
-            row = (np.intersect1d(ka, kb, assume_unique=True) >> np.uint64(64 - _ROWS_BITS)).astype(np.int64)
-            inter = np.bincount(row, minlength=batch.num_rows)
+            rows = np.arange(batch.num_rows)
+            both, row = _in_rows(np.concatenate([ka, kb]), np.concatenate([np.repeat(rows, np.diff(ea)), np.repeat(rows, np.diff(eb))]))
+            inter = np.bincount(row[1:][(both[1:] == both[:-1]) & (row[1:] == row[:-1])], minlength=batch.num_rows)
             union = np.diff(ea) + np.diff(eb) - inter
-            # Texts came by id; where ids repeat, the set's hash tells the right one.
-            right = (_set_hash(ka, ea).view(np.int64) == a.to_numpy()) & (_set_hash(kb, eb).view(np.int64) == b.to_numpy())
-            good = pa.array(right & (union > 0) & (100 * inter >= percent * union))
+            good = pa.array((union > 0) & (100 * inter >= percent * union))
             yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], ["a", "b"])
 
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -204,11 +211,7 @@ def compare_groups(members: DataFrame, percent: int, size: int) -> DataFrame:
         sets: list[np.ndarray] = []
         for batch in _pieces(table.select(["text"]).combine_chunks().to_batches(), "text"):
             keys, edge = shingle_sets(batch.column(0), size)
-            keys = keys << np.uint64(_ROWS_BITS)
-            right = [keys[edge[i] : edge[i + 1]] for i in range(batch.num_rows)]
-            hashes = _set_hash(keys >> np.uint64(_ROWS_BITS), edge).view(np.int64)  # as in the class: wrong texts are emptied
-            start = len(sets)
-            sets += [k if hashes[i] == node[start + i] else k[:0] for i, k in enumerate(right)]
+            sets += [keys[edge[i] : edge[i + 1]] for i in range(batch.num_rows)]
         i = int(own.min())
         left, right = np.flatnonzero(own == i), np.flatnonzero(own != i)
         if not len(right):
@@ -235,12 +238,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 3, percent
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(spark, signatures(docs, size))
-    classes = written(spark, rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("did"), F.first(F.struct("n", "sig", "bands")).alias("v")).select("node", "did", "v.*"))
+    classes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("did"), F.first(F.struct("n", "sig", "bands")).alias("v"))
+    classes = written(spark, classes.select(F.monotonically_increasing_id().alias("node"), "digest", "did", "v.*"))
     keys = classes.select("node", F.explode("bands").alias("key"))
     common = written(spark, keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
     members = written(spark, keys.join(common, "key"))
     popular = written(spark, members.groupBy("node").agg(F.sum("c").alias("pop")))
-    texts = written(spark, _texts(popular.join(classes.select("node", "did"), "node"), docs))
+    texts = written(spark, _texts(popular.join(classes.select("node", "did", "digest"), "node"), docs))
     placed = members.join(popular, "node").select("key", "node", "pop")
     centre = written(spark, placed.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("m")).select("key", F.col("m.node").alias("centre")))
     met = written(spark, members.join(centre, "key").filter("node <> centre").select("key", "node", "centre"))
@@ -249,8 +253,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 3, percent
     pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(va.n, vb.n) >= {percent} * greatest(va.n, vb.n)")
     pairs = written(spark, pairs.filter(agreeing("va.sig", "vb.sig") >= least_agreeing(percent)).select("a", "b"))
-    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    links = written(spark, confirm(pairs.join(text("a"), "a").join(text("b"), "b"), percent, size))
+    links = written(spark, confirm(_with_text(_with_text(pairs, "a", "b", texts), "b", "a", texts), percent, size))
 
     # A bucket is open if it holds more classes than its centre and one, and its centre is not linked with them all.
     ends = links.select("a", "b", F.lit(1).alias("linked"))
@@ -264,14 +267,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 3, percent
         links = links.unionByName(written(spark, compare_groups(open_, percent, size)))
     roots = components(spark, links)
 
-    joined = classes.select("node", "did").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = classes.select("node", "digest", "did").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = joined.groupBy("root").agg(F.min("did").alias("component_id"))
-    reps = written(spark, joined.join(low, "root").select("node", "component_id"))
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(reps, "node", "left")
+    reps = written(spark, joined.join(low, "root").select("digest", "component_id"))
+    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(reps, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _with_text(pairs: DataFrame, x: str, other: str, texts: DataFrame) -> DataFrame:
+    """Adds the text of class ``x`` as ``t<x>``; a class with many pairs has several copies of it, each for some of the pairs."""
+    copies = pairs.groupBy(x).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies"))
+    left = pairs.join(copies, x).withColumn("copy", F.pmod(F.xxhash64(other), F.col("copies")).cast("int")).drop("copies")
+    right = texts.withColumnRenamed("node", x).join(copies, x).select(x, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias(f"t{x}"))
+    return left.join(right, [x, "copy"]).drop("copy")
+
+
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and text of the classes ``wanted`` (node, did); where ids repeat there may be wrong texts besides."""
-    return wanted.join(docs, wanted.did.eqNullSafe(docs.doc_id)).select("node", "text")
+    """node and text of the classes ``wanted`` (node, did, digest): of the texts with a class's least id, the one with its digest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            body, off = text_buffers(batch.column(2))
+            body = lower_ascii(body)
+            starts, ends, first = words(body, off)
+            have = pa.array(sequence_digests(body, starts, ends, first[:-1], first[1:]), pa.binary())
+            right = pa.array([x == y for x, y in zip(have, batch.column(1), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(right), batch.column(2).filter(right)], ["node", "text"])
+
+    found = wanted.join(docs, wanted.did.eqNullSafe(docs.doc_id)).select("node", "digest", "text").mapInArrow(run, "node long, text string")
+    return found.dropDuplicates(["node"])

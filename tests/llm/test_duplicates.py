@@ -80,6 +80,37 @@ def test_near_duplicates_of_a_table(spark):
     assert got == brute_near([tuple(r) for r in docs.select("doc_id", "text").collect()], 3, 85)
 
 
+def test_classes_and_repeats_are_of_equal_words(spark):
+    """Texts that polynomial hashes modulo a power of two take for equal."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    one, two = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(1, one), (2, two), (3, " ".join(one)), (4, " ".join(two)), (5, one), (6, f"x {one} y"), (7, f"x {two} y"), (8, "p q r p q r"), (9, "q r p q r p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dup.near_duplicates(spark, docs).collect()), key=str) == brute_near(rows, 3, 85)
+    got = sorted([tuple(r)[:4] for r in substring.drop_repeats(spark, docs, 2).collect()], key=str)
+    assert got == brute_repeats(rows, 2)
+
+
+def test_hot_centre_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PAIRS_A_COPY", 5)
+    rows = edited(13, 150)
+    got = sorted([tuple(r) for r in near_dup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=str)
+    assert got == brute_near(rows, 3, 85)
+
+
+def test_long_text(spark, monkeypatch):
+    from tessera.llm import arrays
+
+    monkeypatch.setattr(arrays, "CHUNK_BYTES", 256)
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n)) for n in (5000, 300, 20)] + ["", "x" * 3000]
+    k, e, d = near_dup.shingle_sets(pa.array(texts), 3, digests=True)
+    monkeypatch.setattr(arrays, "CHUNK_BYTES", 3 << 20)
+    k2, e2, d2 = near_dup.shingle_sets(pa.array(texts), 3, digests=True)
+    assert k.tolist() == k2.tolist() and e.tolist() == e2.tolist() and d == d2
+    assert np.diff(e).tolist() == [len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}) if (w := t.split()) else 0 for t in texts]
+
+
 def test_near_duplicates_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dup.near_duplicates(spark, empty).collect() == []
@@ -90,7 +121,6 @@ def test_near_duplicates_empty(spark):
 def test_blocks_match_pairs():
     texts = [t for _, t in edited(9, 60) if t and t.split()]
     keys, edge = near_dup.shingle_sets(pa.array(texts), 3)
-    keys = keys << np.uint64(near_dup._ROWS_BITS)
     a, b = near_dup.block_links(keys, edge, keys, edge, 85)
     sets = [set(keys[x:y].tolist()) for x, y in zip(edge[:-1], edge[1:], strict=True)]
     want = {(i, j) for i, s in enumerate(sets) for j, t in enumerate(sets) if 100 * len(s & t) >= 85 * len(s | t)}
@@ -144,13 +174,36 @@ def test_repeats(spark, width):
     rows = [(i, " ".join(r.choice("abcde") for _ in range(r.randint(0, 60)))) for i in range(200)]
     rows += [(None, None), (1000, ""), (5, "a b c d e " * 20), (5, "a b c d e " * 20), (1001, "x " * 200), (1002, "x " * 199), (None, "é 日本 x \x0b y"), (3, " ".join(map(str, range(3000))))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("marks", F.lit(1)).withColumn("kid", F.lit(1))
-    got = sorted([tuple(x) for x in substring.drop_repeats(spark, docs, width).collect()], key=str)
+    got = sorted([tuple(x)[:4] for x in substring.drop_repeats(spark, docs, width).collect()], key=str)
     assert got == brute_repeats(rows, width)
 
 
+def test_compacted_paths(spark, monkeypatch):
+    """P is followed by Q and by R twice each, so its path ends there; a path counts the words of its first node."""
+    monkeypatch.setattr(substring, "STRETCH_WORDS", 64)
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    p, q, r, s = run("p", 60), run("q", 50), run("r", 70), run("s", 300)
+    rows = [(1, f"{p} {q}"), (2, f"{p} {r} a"), (3, f"b {p} {q} c"), (4, f"{p} {r}"), (5, f"x {s} y"), (6, f"{s}"), (7, run("u", 200)), (8, "x " * 100)]
+    got = {x.doc_id: x.longest_repeat for x in substring.drop_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), 35).collect()}
+    assert got == {1: 84, 2: 104, 3: 84, 4: 104, 5: 300, 6: 300, 7: 0, 8: 35}
+
+
+def test_an_occurrence_is_verified(spark, monkeypatch):
+    """Occurrences that share a path's hash, but not the words of its source, are not taken for it."""
+    texts = ["a b c d e f g h", "a b c d e f g h", "p q r s t u v w", "x a b c d y z k"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    honest = substring.repeated_windows(spark, spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    source = honest.filter("kid = 0").select("marks").first()
+    keys = spark.createDataFrame(rows, "doc_id long, text string").select(*substring._key())
+    forged = keys.join(spark.createDataFrame([source], honest.select("marks").schema))
+    monkeypatch.setattr(substring, "repeated_windows", lambda *_: forged)
+    got = sorted([tuple(r)[:3] for r in substring.drop_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()])
+    assert got[0] == (0, 8, 8) and got[1] == (1, 8, 8) and got[2] == (2, 8, 0)
+
+
 def test_repeats_of_a_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    got = sorted([tuple(x) for x in substring.drop_repeats(spark, docs, 35).collect()], key=str)
+    got = sorted([tuple(x)[:4] for x in substring.drop_repeats(spark, docs, 35).collect()], key=str)
     assert got == brute_repeats([tuple(x) for x in docs.select("doc_id", "text").collect()], 35)
 
 
