@@ -1,9 +1,11 @@
 """Nearest neighbours by learned partitions.
 
 The neighbour graph of a bounded sample is cut into balanced parts, a small network learns to tell a vector's part,
-and it then assigns every row to its most probable part. A query is sent to its most probable parts and reranked there
-by exact inner products. How many parts a query visits is set from measured recall: the true neighbours of some
-queries, found by brute force over all rows, say in which of the query's parts they lie.
+and it then assigns every row to its most probable part. The number of parts grows with the square root of the table. A
+query is sent to its most probable parts, as many as hold a certain share of the probability, and reranked there by exact
+inner products. That share is set from measured recall: the true neighbours of some queries, found by brute force over
+all rows, say how much of the probability stands before the parts they lie in. So clear queries visit few parts, and
+vectors without any neighbourhood structure, which no partition can sort, visit many.
 
 Parts are searched in blocks of bounded size, so a part that holds a third of all rows is split like any other.
 """
@@ -21,12 +23,12 @@ from pyspark.sql.window import Window
 
 from .shared import written
 
-#: Rows that the graph and the network are fitted on at most: those with the least hash of the id.
-SAMPLE_ROWS = 4096
-#: Parts: one for each ROWS_A_PART rows, up to MOST_PARTS.
-ROWS_A_PART, MOST_PARTS = 512, 16
-#: Queries whose true neighbours set the number of parts to visit, and the recall aimed at.
-CALIBRATION_QUERIES, RECALL = 128, 0.96
+#: Rows that the graph and the network are fitted on at most, those with the least hash of the id, and wanted for each part.
+SAMPLE_ROWS, SAMPLE_PER_PART = 32768, 128
+#: Parts: the square root of the number of rows divided by this, between these bounds.
+ROOT_PER_PART, LEAST_PARTS, MOST_PARTS = 4, 4, 2048
+#: Queries whose true neighbours set the share of probability to visit, and the recall aimed at.
+CALIBRATION_QUERIES, RECALL = 1024, 0.94
 #: Rows of one block of candidates and of queries.
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
 
@@ -126,21 +128,56 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def route(rows: DataFrame, router: Router, dim: int, visit: int) -> DataFrame:
-    """Each row (id, vec) with its ``visit`` most probable parts: a row for each, with their rank."""
+def shares(router: Router, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of each row, the most probable first, and the probability that stands before each."""
+    z = router.scores(x).astype(np.float64)
+    z = np.exp(z - z.max(1, keepdims=True))
+    z /= z.sum(1, keepdims=True)
+    order = np.argsort(-z, axis=1, kind="stable")
+    z = np.take_along_axis(z, order, 1)
+    return order, np.cumsum(z, axis=1) - z
+
+
+def route(rows: DataFrame, router: Router, share: float) -> DataFrame:
+    """Each row (id, vec) with its most probable part, and those after it before which less than ``share`` stands: a row for each."""
+    dim = router.w1.shape[0]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = router.scores(_matrix(batch.column(1), dim))
-            best = np.argsort(-s, axis=1, kind="stable")[:, :visit].astype(np.int32)
-            take = pa.array(np.repeat(np.arange(len(best)), visit))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(best.ravel()), pa.array(np.tile(np.arange(visit, dtype=np.int32), len(best)))], ["id", "vec", "part", "place"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4096):
+                batch = whole.slice(a, 4096)
+                order, before = shares(router, _matrix(batch.column(1), dim))
+                before[:, 0] = -1
+                row, col = np.nonzero(before < share)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(order[row, col].astype(np.int32))], ["id", "vec", "part"])
 
-    return rows.select("id", "vec").mapInArrow(run, "id long, vec array<float>, part int, place int")
+    kind = rows.schema["vec"].dataType.simpleString()
+    return rows.select("id", "vec").mapInArrow(run, f"id long, vec {kind}, part int")
 
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query id, candidate id and inner product of each query's k best rows; ties go to the smaller id."""
+    """Query id, candidate id and inner product of each query's k best ids; ties go to the smaller id, an id counts once, with its best row."""
+    order = np.argsort(ids, kind="stable")
+    new = np.append(True, ids[order[1:]] != ids[order[:-1]]) if len(order) else np.zeros(0, bool)
+    if new.all():
+        return _best_rows(queries, query_ids, base, ids, k)
+    # Rows of the same id are parted into layers without repeats; the best of all layers are merged.
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    layer = np.arange(len(order)) - first
+    found = [_best_rows(queries, query_ids, base[order[layer == n]], ids[order[layer == n]], k) for n in range(int(layer.max()) + 1)]
+    q, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((-s, c, q))
+    q, c, s = q[order], c[order], s[order]
+    once = np.append(True, (q[1:] != q[:-1]) | (c[1:] != c[:-1])) if len(q) else np.zeros(0, bool)
+    q, c, s = q[once], c[once], s[once]
+    order = np.lexsort((c, -s, q))
+    q, c, s = q[order], c[order], s[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], c[keep], s[keep]
+
+
+def _best_rows(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     base = base.astype(np.float64)
     for a in range(0, len(queries), 256):
@@ -153,12 +190,9 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, ids: n
             row, col = np.nonzero((s >= (bar - slack)[:, None]) & (s > -np.inf))
         else:
             row, col = np.nonzero(s > -np.inf)
-        exact = np.einsum("ij,ij->i", q[row], base[col])
+        exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[row[b : b + 65536]], base[col[b : b + 65536]]) for b in range(0, len(row), 65536))])
         order = np.lexsort((ids[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
-        fresh = np.ones(len(row), bool)  # a repeated row counts once
-        fresh[1:] = (row[1:] != row[:-1]) | (ids[col[1:]] != ids[col[:-1]]) | (exact[1:] != exact[:-1])
-        row, col, exact = row[fresh], col[fresh], exact[fresh]
         first = np.searchsorted(row, np.arange(len(q)))
         keep = np.arange(len(row)) - first[row] < k
         found.append((own[row[keep]], ids[col[keep]], exact[keep]))
@@ -188,57 +222,66 @@ def brute_force(rows: DataFrame, queries: np.ndarray, query_ids: np.ndarray, dim
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
+def fit(x: np.ndarray, parts: int) -> Router:
+    """Cuts the neighbour graph of the sample into parts and learns where neighbours lie."""
+    graph = neighbour_graph(x)
+    label = balanced_parts(x, graph, parts)
+    near = np.concatenate([np.arange(len(x))[:, None], graph], 1)
+    target = np.zeros((len(x), parts), np.float32)
+    np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), label[near.ravel()]), 1)
+    return train_router(x, target / target.sum(1, keepdims=True))
+
+
+def nearest(spark: SparkSession, table: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL, report: dict | None = None) -> DataFrame:
     """The k rows of largest inner product for each row whose vec_id is divisible by ``every``.
 
     Returns query_id, ``rank`` from 1, vec_id and ``score`` (in double precision on the stored vectors). Vectors that are
     null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows without an
-    id; a row is never its own neighbour, and rows with the query's id are its own. Repeated rows count once. Fewer
-    candidates than k give all of them; an empty table gives no rows; other columns are not read.
+    id; a row is never its own neighbour, and rows with the query's id are its own. Repeated rows count once, and an id
+    with several vectors counts once, with the best of them. Fewer candidates than k give all of them; an empty table
+    gives no rows; other columns are not read. ``report`` is filled with the number of parts and the share of probability.
     """
     sound = "vec is not null and id is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)"
-    rows = table.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("vec")).filter(sound)
+    stored = table.schema["embedding"].dataType
+    kind = "array<float>" if stored.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("vec")).filter(sound)
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return nothing
     dim, total = sizes[0]["d"], sizes[0]["count"]
     rows = rows.filter(F.size("vec") == dim)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
-    x = _matrix(sample.column("vec"), dim).astype(np.float32)
-    x = np.unique(x, axis=0)
-    parts = int(min(MOST_PARTS, max(1, total // ROWS_A_PART), max(1, len(x) // 64)))
-    graph = neighbour_graph(x) if parts > 1 else np.zeros((len(x), 0), np.int64)
-    label = balanced_parts(x, graph, parts)
-    near = np.concatenate([np.arange(len(x))[:, None], graph], 1)
-    target = np.stack([np.bincount(label[n], minlength=parts) for n in near]).astype(np.float32)
-    router = train_router(x, target / target.sum(1, keepdims=True)) if parts > 1 else Router(*(np.zeros(s, np.float32) for s in ((dim, 1), 1, (1, 1), 1)))
-
-    base = written(spark, route(rows, router, dim, 1).drop("place"))
-    wanted = rows.filter(F.col("id") % every == 0)
-    visit = parts
-    if parts > 1:
-        probe = wanted.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_QUERIES).toArrow()
-        if probe.num_rows:
-            q, ids = _matrix(probe.column("vec"), dim), probe.column("id").to_numpy()
-            true = brute_force(base, q, ids, dim, k).select("query_id", "part").toArrow()
-            place = np.argsort(np.argsort(-router.scores(q), axis=1, kind="stable"), axis=1)
-            at = np.argsort(ids, kind="stable")
-            where = place[at[np.searchsorted(ids[at], true.column("query_id").to_numpy())], true.column("part").to_numpy()]
-            reached = np.cumsum(np.bincount(where, minlength=parts)) / max(1, len(where))
-            visit = int(np.searchsorted(reached, recall)) + 1
-    asked = written(spark, route(wanted, router, dim, min(visit, parts)).drop("place").distinct())
-    # Blocks: the counts by part (a few numbers) say into how many a part's rows and queries are dealt.
-    blocks = {
-        r["part"]: (-(-r["n"] // BLOCK_ROWS), -(-r["q"] // QUERY_ROWS))
-        for r in base.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(asked.groupBy("part").agg(F.count(F.lit(1)).alias("q")), "part").collect()
-    }
-    if not blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    count = lambda i: F.create_map(*[F.lit(v) for p, b in blocks.items() for v in (p, b[i])])[F.col("part")]
-    pick = lambda i: F.pmod(F.xxhash64("id"), count(i)).cast("int")
-    every_of = lambda i: F.explode(F.sequence(F.lit(0), (count(i) - 1).cast("int")))
-    left = base.filter(F.col("part").isin(list(blocks))).withColumn("b", pick(0)).withColumn("a", every_of(1))
-    right = asked.filter(F.col("part").isin(list(blocks))).withColumn("b", every_of(0)).withColumn("a", pick(1))
+    parts = int(min(MOST_PARTS, max(LEAST_PARTS, total**0.5 // ROOT_PER_PART)))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE_ROWS, parts * SAMPLE_PER_PART)).toArrow()
+    x = np.unique(_matrix(sample.column("vec"), dim).astype(np.float32), axis=0)
+    parts = min(parts, len(x))
+    router = fit(x, parts)
+
+    once = rows.dropDuplicates(["id", "vec"])
+    base = written(spark, route(once, router, 0))
+    wanted = once.filter(F.col("id") % every == 0)
+    probe = wanted.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_QUERIES).toArrow()
+    share = 1.0
+    if probe.num_rows:
+        q, ids = _matrix(probe.column("vec"), dim), probe.column("id").to_numpy()
+        true = brute_force(base, q, ids, dim, k).select("query_id", "part").toArrow()
+        order, before = shares(router, q)
+        before_part = np.zeros_like(before)
+        np.put_along_axis(before_part, order, before, 1)
+        at = np.argsort(ids, kind="stable")
+        needed = before_part[at[np.searchsorted(ids[at], true.column("query_id").to_numpy())], true.column("part").to_numpy()]
+        if len(needed):
+            share = float(np.quantile(needed, recall, method="higher")) + 1e-9
+    if report is not None:
+        report.update(parts=parts, share=share)
+    asked = written(spark, route(wanted, router, share))
+    # Blocks: the counts by part (at most MOST_PARTS rows) say into how many a part's rows and queries are dealt.
+    size = lambda df, rows_a_block, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / rows_a_block).cast("int").alias(name))
+    blocks = F.broadcast(size(base, BLOCK_ROWS, "bs").join(size(asked, QUERY_ROWS, "qs"), "part"))
+    pick = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = base.join(blocks, "part").withColumn("b", pick("bs")).withColumn("a", each("qs")).drop("bs", "qs")
+    right = asked.join(blocks, "part").withColumn("b", each("bs")).withColumn("a", pick("qs")).drop("bs", "qs")
 
     def search(one: pa.Table, two: pa.Table) -> pa.Table:
         q, c, s = best_of(_matrix(two.column("vec"), dim), two.column("id").to_numpy(), _matrix(one.column("vec"), dim), one.column("id").to_numpy(), k)

@@ -167,6 +167,47 @@ def test_hot_vector_and_blocks(spark, monkeypatch):
     assert hits / total >= 0.9 and len(got) == 75
 
 
+def test_repeated_rows_lose_no_neighbours(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(100, 6)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 40 + [(9, x[11].tolist())] * 3 + [(9, x[12].tolist())]
+    got = {}
+    for row in ann.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), recall=1.0).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.vec_id, row.score))
+    for q, found in got.items():
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -9e9), float(x[q].astype(float) @ np.array(v, np.float32).astype(float)))
+        want = sorted(best.items(), key=lambda t: (-t[1], t[0]))[:20]
+        found.sort()
+        assert [f[1] for f in found] == [w[0] for w in want] and np.allclose([f[2] for f in found], [w[1] for w in want], atol=1e-12)
+    assert sorted(got) == [0, 20, 40, 60, 80]
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(20, [1.0, 1e-12]), (1, [1.0, 2.0]), (2, [1.0, 1.0]), (3, [1.0, 3.0])]
+    got = sorted((r.rank, r.vec_id) for r in ann.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 3), (2, 1), (3, 2)]
+
+
+def test_vectors_with_neighbourhoods_visit_few_rows(spark):
+    """600 bunches: recall of 0.9 at less than a fifth of the rows."""
+    r = np.random.default_rng(8)
+    centre = r.normal(size=(600, 32))
+    x = centre[r.integers(0, 600, 20000)] + 0.35 * r.normal(size=(20000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    report = {}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(row.query_id, row.vec_id) for row in ann.nearest(spark, df, report=report).collect()}
+    q = np.arange(0, 20000, 20)
+    s = x[q].astype(np.float64) @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    true = {(int(a), int(b)) for a, row in zip(q, np.argsort(-s, axis=1)[:, :20], strict=True) for b in row}
+    visited = ann.route(spark.createDataFrame([(int(i), x[i].tolist()) for i in q], "id long, vec array<float>"), ann.fit(np.unique(x[::4][:4480], axis=0), report["parts"]), report["share"]).count() / len(q) / report["parts"]
+    assert len(true & got) / len(true) >= 0.9 and report["parts"] == 35 and visited <= 0.2, (len(true & got) / len(true), report, visited)
+
+
 def test_balanced_parts():
     x = np.random.default_rng(4).normal(size=(800, 16)).astype(np.float32)
     label = ann.balanced_parts(x, ann.neighbour_graph(x), 5)
