@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .arrays import chunks, code_points, lower_ascii, text_buffers
 from .bpe import class_table
 
-#: Labelled rows that the model is trained on at most: those with the least hash of doc_id.
+#: Labelled rows that the model is trained on at most: those with the least hash of doc_id, text and lang.
 TRAIN_ROWS = 4000
+#: Words that the Viterbi pass holds at once: the scores of longer texts are carried on from block to block.
+BLOCK_WORDS = 1 << 17
 #: Buckets of hashed trigrams; the model holds this many floats for each language.
 BUCKETS = 1 << 16
 #: What a change of language costs, in nats, and what one word may say against a language at most.
@@ -100,39 +102,55 @@ def labelled(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``most`` rows with text and lang outside the held-out third."""
+    """Fit on at most ``most`` rows with text and lang outside the held-out third; repeated rows among them count once.
+
+    Trigrams and scripts are counted where the rows are; only the counts, as many as the model has numbers, come here.
+    """
     rows = docs.filter(labelled() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    near = rows.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(most).agg(F.max("h").alias("h")).first()["h"]
+    rows = rows.select(F.xxhash64("doc_id", "text", "lang").alias("h"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    near = rows.select("h").orderBy("h").limit(most).agg(F.max("h").alias("h")).first()["h"]
     if near is None:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(_SCRIPT_NAMES), 0), bool))
-    sample = rows.filter(F.xxhash64("doc_id") <= F.lit(near)).select("text", "lang").limit(2 * most).toArrow()
-    names = sample.column("lang").to_pylist()
-    languages = sorted(set(names))
-    code = np.array([languages.index(x) for x in names])
-    counts = np.zeros((BUCKETS, len(languages)))
-    scripts = np.zeros((len(_SCRIPT_NAMES), len(languages)))
-    done = 0
-    for batch in chunks(sample.select(["text"]).to_batches(), "text"):
-        runs = letter_runs(*text_buffers(batch.column(0)))
-        word_lang = np.repeat(code[done : done + batch.num_rows], np.diff(runs.first))
-        done += batch.num_rows
-        np.add.at(scripts, (runs.script, word_lang), 1)
-        gram_lang = np.repeat(word_lang, np.diff(runs.gram_first))
-        counts += np.bincount(runs.gram.astype(np.int64) * len(languages) + gram_lang, minlength=counts.size).reshape(counts.shape)
-    logp = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
+    sample = rows.filter(F.col("h") <= F.lit(near)).groupBy("h").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            runs = letter_runs(*text_buffers(batch.column(1)))
+            coded = batch.column(0).dictionary_encode()
+            word_lang = np.repeat(coded.indices.to_numpy(), np.diff(runs.first))
+            gram_lang = np.repeat(word_lang, np.diff(runs.gram_first))
+            slots = BUCKETS + len(_SCRIPT_NAMES)  # scripts are counted behind the trigrams
+            at = np.concatenate([gram_lang.astype(np.int64) * slots + runs.gram, word_lang.astype(np.int64) * slots + BUCKETS + runs.script])
+            at, count = np.unique(at, return_counts=True)
+            seen = np.unique(coded.indices.to_numpy())  # a language of texts without letters is one too
+            lang = np.concatenate([at // slots, seen])
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(lang)), pa.array(np.concatenate([at % slots, np.zeros(len(seen))]).astype(np.int32)), pa.array(np.concatenate([count, np.zeros(len(seen))]).astype(np.int64))],
+                ["lang", "slot", "n"],
+            )
+
+    found = sample.select("lang", "text").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    coded = found.column("lang").combine_chunks().dictionary_encode()
+    languages = sorted(coded.dictionary.to_pylist())
+    place = np.array([languages.index(x) for x in coded.dictionary.to_pylist()])
+    counts = np.zeros((BUCKETS + len(_SCRIPT_NAMES), len(languages)))
+    counts[found.column("slot").to_numpy(), place[coded.indices.to_numpy()]] = found.column("n").to_numpy()
+    grams, scripts = counts[:BUCKETS], counts[BUCKETS:]
+    logp = np.log((grams + 0.5) / (grams.sum(0) + 0.5 * BUCKETS))
     return Model(languages, logp.astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1))
 
 
-def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best label of each word; ``score`` is words x labels, texts lie one after another from ``first``."""
+def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Best label of each word, and the scores at each text's end; ``score`` is words x labels, texts lie one after another
+    from ``first`` and go on from the scores ``before``. A label that a word excludes (-inf) is never its own."""
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
     begin, length = first[:-1][order], length[order]
     live = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
     states = score.shape[1]
-    back = np.empty(score.shape, np.int8)
-    value = np.zeros((len(order), states), np.float32)
-    ids = np.arange(states, dtype=np.int8)
+    back = np.empty(score.shape, np.int16 if states < 1 << 15 else np.int32)
+    value = np.zeros((len(order), states), np.float32) if before is None else before[order].astype(np.float32)
+    ids = np.arange(states, dtype=back.dtype)
     for t, m in enumerate(live):
         v, at = value[:m], begin[:m] + t
         top = v.argmax(1)
@@ -140,36 +158,59 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.
         stay = v >= move[:, None]
         back[at] = np.where(stay, ids, top[:, None])
         value[:m] = np.where(stay, v, move[:, None]) + score[at]
-    label = np.zeros(len(score), np.int8)
-    state = value.argmax(1).astype(np.int8)
+    label = np.zeros(len(score), back.dtype)
+    state = value.argmax(1).astype(back.dtype)
     for t in range(len(live) - 1, -1, -1):
         m = live[t]
         at = begin[:m] + t
         label[at] = state[:m]
         state[:m] = back[at, state[:m]]
-    return label
+    out = np.empty_like(value)
+    out[order] = value
+    return label, out
+
+
+def word_scores(model: Model, runs: LetterRuns, a: int, b: int) -> np.ndarray:
+    """Scores of the words a to b: what the best of a word's languages gains over the others, ``WORST`` at most; -inf where
+    its script excludes a language, 0 for all where it excludes every one."""
+    score = np.empty((b - a, len(model.languages)), np.float32)
+    gram, edge = runs.gram[runs.gram_first[a] : runs.gram_first[b]], runs.gram_first[a:b] - runs.gram_first[a]
+    for j in range(score.shape[1]):
+        score[:, j] = np.add.reduceat(model.logp[:, j][gram], edge)
+    uses = model.uses[runs.script[a:b]]
+    none = ~uses.any(1)
+    score[none] = 0
+    out = ~uses & ~none[:, None]
+    score[out] = -np.inf
+    score = np.maximum(score - score.max(1, keepdims=True), np.float32(-WORST))
+    score[out] = -np.inf
+    return score
 
 
 def label_words(model: Model, runs: LetterRuns) -> tuple[np.ndarray, np.ndarray]:
     """Label of each word, and whether its script is one that a learned language uses."""
-    words, langs = len(runs.starts), len(model.languages)
-    score = np.zeros((words, langs), np.float32)
-    if words:
-        for j in range(langs):
-            score[:, j] = np.add.reduceat(model.logp[:, j][runs.gram], runs.gram_first[:-1])
-    uses = model.uses[runs.script]
-    known = uses.any(1)
-    score[~uses] = -np.inf
-    score[~known] = 0
-    score = np.maximum(score - score.max(1, keepdims=True), np.float32(-WORST)) if words else score
-    return viterbi(score, runs.first), known
+    words = len(runs.starts)
+    label, known = np.zeros(words, np.int32), model.uses[runs.script].any(1)
+    length, a = np.diff(runs.first), 0
+    while a < len(length):
+        # Texts together as far as a block holds them; a longer one alone, block by block.
+        b = max(a + 1, int(np.searchsorted(runs.first, runs.first[a] + BLOCK_WORDS, "right")) - 1)
+        low, high, value = int(runs.first[a]), int(runs.first[b]), None
+        if b == a + 1:
+            for w in range(low, high, BLOCK_WORDS):
+                to = min(w + BLOCK_WORDS, high)
+                label[w:to], value = viterbi(word_scores(model, runs, w, to), np.array([0, to - w]), before=value)
+        elif high > low:
+            label[low:high], _ = viterbi(word_scores(model, runs, low, high), runs.first[a : b + 1] - low)
+        a = b
+    return label, known
 
 
 def _predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, LetterRuns, np.ndarray]:
     runs = letter_runs(*text_buffers(column))
     texts = len(runs.first) - 1
     if not model.languages:
-        return [UNDETERMINED] * texts, np.zeros(texts), runs, np.zeros(len(runs.starts), np.int8)
+        return [UNDETERMINED] * texts, np.zeros(texts), runs, np.zeros(len(runs.starts), np.int32)
     label, known = label_words(model, runs)
     row = np.repeat(np.arange(texts), np.diff(runs.first))
     size = (runs.ends - runs.starts).astype(np.float64)
@@ -188,7 +229,9 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     text or one without a letter is ``und`` with score 0; words of a script that no learned language uses count
     against the score; without any training row all is ``und``. Ties go to the first language by name. Repeated rows
     are each answered, a null id is kept (and not held out), an empty table gives none; lang, source and doc_id are
-    not looked at.
+    not looked at. A word is never labelled with a language whose training text does not use its script, unless none
+    does. Viterbi holds ``BLOCK_WORDS`` words at once; a longer text is read back block by block, each from the best score
+    at its end. A text is held whole by one task, at about 40 bytes of memory a byte where it is longer than a batch.
     """
     kind = ", spans array<struct<start: int, end: int, lang: string>>" * spans
 

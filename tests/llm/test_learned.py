@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, html_content, language, queries
+from tessera.llm.arrays import text_buffers
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -54,12 +55,43 @@ def test_viterbi_matches_brute_force():
     r = np.random.default_rng(2)
     score = r.normal(0, 3, (9, 3)).astype(np.float32)
     first = np.array([0, 4, 4, 9])
-    got = language.viterbi(score, first, 2.0)
+    got, _ = language.viterbi(score, first, 2.0)
     for a, b in ((0, 4), (4, 9)):
         best = max(np.ndindex(*(3,) * (b - a)), key=lambda s: sum(score[a + i, x] for i, x in enumerate(s)) - 2.0 * sum(x != y for x, y in zip(s, s[1:], strict=False)))
         assert got[a:b].tolist() == list(best)
 
 
+def test_two_hundred_languages(spark):
+    r = np.random.default_rng(1)
+    sound = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(200)]
+    rows = [(i, " ".join(sound[i % 200] + r.choice(list("xyz")) for _ in range(30)), f"l{i % 200:03}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    got = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(model.languages) == 200 and np.mean([x.lang == x.lang_pred for x in got]) > 0.99
+
+
+def test_scripts_exclude_languages(spark):
+    """A Greek word between Latin ones is not labelled with a language that is never written in Greek letters."""
+    rows = [(i, "the cat sat on the mat", "en") for i in range(40)] + [(100 + i, "η γάτα κάθεται στο χαλί", "el") for i in range(40)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "the cat sat on γάτα mat on the cat 日本 sat"
+    runs = language.letter_runs(*text_buffers(pa.array([text])))
+    label, known = language.label_words(model, runs)
+    names = [model.languages[x] for x in label]
+    assert names[4] == "el" and names[:4] + names[5:9] == ["en"] * 8 and known.tolist() == [True] * 9 + [False, True]
+
+
+def test_long_texts_in_blocks(spark, model, monkeypatch):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").orderBy("doc_id").limit(60)
+    whole = sorted(tuple(r) for r in language.predict(docs, model).collect())
+    texts = pa.array([r.text for r in docs.collect()])
+    before = language._predict(model, texts)
+    monkeypatch.setattr(language, "BLOCK_WORDS", 50)
+    after = language._predict(model, texts)
+    assert before[0] == after[0] and np.allclose(before[1], after[1], atol=0.05) and len(whole) == 60
+
+
 def test_marginals_match_brute_force():
     page = html_content.parse("<body><div class=ad><p>a</p></div><article><p>b</p></article></body>")
     m = html_content.default_model()
