@@ -81,21 +81,41 @@ def parse(source: str) -> Page:
             run.clear()
         linked[0] = 0
 
+    where: dict[str, list[int]] = {}  # places in the stack of each open element's name
+    silent = [0]
+
+    def push(name: str, node: int) -> None:
+        where.setdefault(name, []).append(len(stack))
+        silent[0] += name in SILENT
+        stack.append((name, node))
+
+    where: dict[str, list[int]] = {}  # places in the stack of each open element's name
+    silent = [0]
+
+    def push(name: str, node: int) -> None:
+        where.setdefault(name, []).append(len(stack))
+        silent[0] += name in SILENT
+        stack.append((name, node))
+
     def close(name: str, stop: frozenset | set = frozenset()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == name:
-                if any(t in BLOCK for t, _ in stack[i:]):
-                    leave()
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+        if not where.get(name):
+            return
+        i = where[name][-1]
+        if any(where.get(t) and where[t][-1] > i for t in stop):
+            return
+        gone = [t for t, _ in stack[i:]]
+        if not BLOCK.isdisjoint(gone):
+            leave()
+        for t in gone:
+            where[t].pop()
+            silent[0] -= t in SILENT
+        del stack[i:]
 
     def add(raw: str) -> None:
-        if raw and not any(t in SILENT for t, _ in stack):
+        if raw and not silent[0]:
             text = html.unescape(raw) if "&" in raw else raw
             run.append(text)
-            if any(t == "a" for t, _ in stack):
+            if where.get("a"):
                 linked[0] += len(text.strip())
 
     at = 0
@@ -131,14 +151,14 @@ def parse(source: str) -> Page:
                 close(other, stop)
         if name == "body":
             close("head")
-        if name in ("html", "body") and any(t == name for t, _ in stack):
+        if name in ("html", "body") and where.get(name):
             continue
         if name in RAW or name in RCDATA:
             if name in ("svg", "math") and _SELF_CLOSED.search(attrs):
                 continue
             end = _END[name].search(source, at)
             at = end.start() if end else len(source)
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
             continue
         if name in BLOCK:
             leave()
@@ -150,9 +170,9 @@ def parse(source: str) -> Page:
             page.tag.append(name)
             page.names.append(list(dict.fromkeys(names)))
             page.text.append(None)
-            stack.append((name, len(page.parent) - 1))
+            push(name, len(page.parent) - 1)
         elif not attrs.rstrip().endswith("/"):
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
     add(source[at:])
     leave()
     return page
