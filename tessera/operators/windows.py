@@ -2,14 +2,17 @@
 
 Windows span the whole frame, in its guaranteed order. Spark evaluates such a window in one task, which is the
 fastest plan for frames that a task can sort. Beyond ``ONE_TASK_BYTES`` (Catalyst's estimate; nothing runs) and if the
-first order key is a number or a time, the same values come from blocks of that key:
+first order key is a number, a time or text, the same values come from blocks of that key:
 
 * running aggregates: a window in each block, plus what all blocks before it add up to (one row for each block);
+  means and variances are merged from counts, means and squared deviations, never from sums of squares;
 * shifts and moving aggregates: a row number from block counts, then runs of ``RUN_ROWS`` rows, each of which
   also gets the few rows before (and after) it that its frames reach.
 
+Ranks come from the distinct values with their counts, in blocks of the value, at every size.
+
 Blocks are equal spans between the key's least and greatest value, so both branches of a plan agree on them; rows
-with equal keys share a block.
+with equal keys share a block. Text counts by its first six bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import DataFrame as SparkFrame
 from pyspark.sql import functions as F
@@ -28,8 +32,8 @@ from tessera.errors import UnorderedOperationError, UnsupportedOperationError
 from tessera.functions.aggregates import number
 from tessera.functions.scalars import divide
 from tessera.functions.types import is_integer, is_numeric
-from tessera.operators.validate import ddof_of
-from tessera.plans.state import State, fresh
+from tessera.operators.validate import ddof_of, refuse, whole_number
+from tessera.plans.state import Key, State, fresh
 
 if TYPE_CHECKING:
     from tessera.operators.frame import DataFrame
@@ -68,21 +72,26 @@ def ready(state: State, preps: tuple[Prep, ...]) -> State:
 def _in_blocks(state: State) -> bool:
     in_order(state)
     kind = state.df.schema[state.order[0].column].dataType
-    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if not _has_blocks(kind):
         return False
     estimate = state.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(estimate)) > ONE_TASK_BYTES
 
 
-def _with_block(df: SparkFrame, state: State, block: str) -> SparkFrame:
-    """Adds the block of each row by its first order key, numbered in row order."""
-    key = state.order[0]
+def _has_blocks(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.BooleanType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _with_block(df: SparkFrame, key: Key, block: str) -> SparkFrame:
+    """Adds the block of each row by a key, numbered in the key's order."""
     kind = df.schema[key.column].dataType
     c = F.col(key.column)
     if isinstance(kind, T.TimestampType):
         x = F.unix_micros(c).cast("double")
     elif isinstance(kind, T.TimestampNTZType):  # in whole seconds, without passing through a time zone
         x = F.unix_date(c.cast("date")).cast("double") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    elif isinstance(kind, T.StringType):  # strings are ordered by their bytes
+        x = F.conv(F.rpad(F.substring(F.hex(c.cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
     else:
         x = F.unix_date(c).cast("double") if isinstance(kind, T.DateType) else c.cast("double")
     x = F.when(~F.isnan(x), x)
@@ -103,7 +112,7 @@ def _row_number(state: State) -> tuple[str, Prep]:
     block, local, before, number = (fresh() for _ in range(4))
 
     def apply(df: SparkFrame) -> SparkFrame:
-        df = _with_block(df, state, block)
+        df = _with_block(df, state.order[0], block)
         counts = df.groupBy(block).agg(F.count(F.lit(1)).alias(before))
         counts = counts.withColumn(before, F.coalesce(F.sum(before).over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         df = df.withColumn(local, F.row_number().over(Window.partitionBy(block).orderBy(*(k.spark() for k in state.order))))
@@ -164,7 +173,7 @@ def running(state: State, wanted: dict[str, tuple[Callable[[Column], Column], Co
     made = [fresh() for _ in folds]
 
     def apply(df: SparkFrame) -> SparkFrame:
-        df = _with_block(df, state, block)
+        df = _with_block(df, state.order[0], block)
         sums = [fresh() for _ in folds]
         totals = df.groupBy(block).agg(*(fold(x).alias(s) for (fold, x, _), s in zip(folds, sums, strict=True)))
         earlier = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
@@ -204,42 +213,82 @@ def pct_change(state: State, c: Column, periods: int) -> tuple[Column, tuple[Pre
     return divide(c.cast("double") - before.cast("double"), before), preps
 
 
-def rank(state: State, c: Column, method: str, na_option: str, ascending: bool, pct: bool) -> Column:
+def moments(state: State, c: Column, x: Column) -> tuple[Column, Column, Column, tuple[Prep, ...]]:
+    """Count, mean and sum of squared deviations of all rows up to each row, from blocks that are merged pairwise."""
+    block, n, m, q, n0, m0, q0 = (fresh() for _ in range(7))
+
+    def before(totals: pd.DataFrame) -> pd.DataFrame:
+        out, n_, m_, q_ = [], 0, 0.0, 0.0
+        for b, n1, m1, q1 in totals.sort_values(block)[[block, n, m, q]].itertuples(index=False):
+            out.append((b, n_, m_, q_))
+            if n1:
+                gap, both = m1 - m_, n_ + n1
+                m_, q_, n_ = m_ + gap * n1 / both, q_ + q1 + gap * gap * n_ * n1 / both, both
+        return pd.DataFrame(out, columns=[block, n0, m0, q0])
+
+    def apply(df: SparkFrame) -> SparkFrame:
+        df = _with_block(df, state.order[0], block)
+        parts = lambda over: (over(F.count(c)), over(F.avg(x)), over(F.var_pop(x)))
+        count, mean, spread = parts(lambda f: f)
+        # At most BLOCKS + 3 rows, one for each block.
+        totals = df.groupBy(block).agg(count.alias(n), F.coalesce(mean, F.lit(0.0)).alias(m), F.coalesce(spread * count, F.lit(0.0)).alias(q))
+        earlier = totals.groupBy().applyInPandas(before, f"`{block}` int, `{n0}` long, `{m0}` double, `{q0}` double")
+        w = Window.partitionBy(block).orderBy(*(k.spark() for k in state.order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        count, mean, spread = parts(lambda f: f.over(w))
+        df = df.withColumns({n: count, m: F.coalesce(mean, F.lit(0.0)), q: F.coalesce(spread * count, F.lit(0.0))}).join(F.broadcast(earlier), block)
+        both, gap = F.col(n) + F.col(n0), F.col(m) - F.col(m0)
+        some = F.when(both > 0, both)
+        merged = {
+            n: both,
+            m: F.when(F.col(n0) == 0, F.col(m)).when(F.col(n) == 0, F.col(m0)).otherwise(F.col(m0) + gap * F.col(n) / some),
+            q: F.col(q) + F.col(q0) + F.when((F.col(n) > 0) & (F.col(n0) > 0), gap * gap * F.col(n) * F.col(n0) / some).otherwise(0.0),
+        }
+        return df.withColumns(merged).drop(block, n0, m0, q0)
+
+    return F.col(n), F.col(m), F.col(q), (Prep(n, apply),)
+
+
+def rank(state: State, c: Column, kind: T.DataType, method: str, na_option: str, ascending: bool, pct: bool) -> tuple[Column, tuple[Prep, ...]]:
+    """Ranks of values, from the distinct values with their counts: no task sees more than a block of them."""
     if method not in ("average", "min", "max", "first", "dense"):
-        raise ValueError(f"Invalid rank method: {method!r}")
+        raise ValueError(f"unknown way to rank ties: {method!r}")
     if na_option not in ("keep", "top", "bottom"):
-        raise ValueError("na_option must be one of 'keep', 'top', or 'bottom'")
-    if na_option == "top":
-        key = c.asc_nulls_first() if ascending else c.desc_nulls_first()
-    else:
-        key = c.asc_nulls_last() if ascending else c.desc_nulls_last()
-    w = Window.orderBy(key)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(c))
-    if method == "first":
-        if not state.order:
-            raise UnorderedOperationError("rank(method='first') requires a guaranteed row order")
-        value = F.row_number().over(Window.orderBy(key, *(k.spark() for k in state.order)))
-    elif method == "dense":
-        value = F.dense_rank().over(w)
-    else:
-        value = F.rank().over(w)
-        if method == "max":
-            value = value + ties - 1
-        elif method == "average":
-            value = value + (ties - 1) / F.lit(2.0)
-    value = value.cast("double")
-    everything = Window.partitionBy()
+        raise ValueError(f"na_option is 'keep', 'top' or 'bottom', not {na_option!r}")
+    if method == "first" and not state.order:
+        raise UnorderedOperationError("ties ranked by first appearance need a guaranteed row order")
+    if not _has_blocks(kind):
+        raise UnsupportedOperationError(f"values of type {kind.simpleString()} cannot be ranked")
+    value, place, block, ties, distinct_, before, earlier, local, rows, values = (fresh() for _ in range(10))
+    key = Key(value, None, ascending, na_option != "top")
+
+    def apply(df: SparkFrame) -> SparkFrame:
+        df = df.withColumn(value, c)
+        counts = _with_block(df.groupBy(value).agg(F.count(F.lit(1)).alias(ties)), key, block)
+        totals = counts.groupBy(block).agg(F.sum(ties).alias(before), F.count(F.lit(1)).alias(earlier))
+        ahead = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(block, *(F.coalesce(F.sum(x).over(ahead), F.lit(0)).alias(x) for x in (before, earlier)))
+        w = Window.partitionBy(block).orderBy(key.spark()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counts.withColumns({local: F.sum(ties).over(w), distinct_: F.row_number().over(w)}).join(F.broadcast(totals), block)
+        ranked = ranked.select(F.col(value).alias(place), ties, (F.col(before) + F.col(local) - F.col(ties)).alias(before), (F.col(earlier) + F.col(distinct_)).alias(distinct_))
+        df = df.join(ranked, F.col(value).eqNullSafe(F.col(place)))
+        if pct:
+            count = F.lit(1) if na_option != "keep" else F.col(value)
+            whole = counts.agg(F.sum(F.when(F.col(value).isNotNull() | F.lit(na_option != "keep"), F.col(ties))).alias(rows), F.count(count).alias(values))
+            df = df.crossJoin(F.broadcast(whole))  # one row
+        if method == "first":
+            df = df.withColumn(local, F.row_number().over(Window.partitionBy(value).orderBy(*(k.spark() for k in state.order))))
+        return df
+
+    number_ = {
+        "min": F.col(before) + 1,
+        "max": F.col(before) + F.col(ties),
+        "average": F.col(before) + (F.col(ties) + 1) / F.lit(2.0),
+        "dense": F.col(distinct_),
+        "first": F.col(before) + F.col(local),
+    }[method].cast("double")
     if pct:
-        if method == "dense":
-            # Ranks from both ends add up to the number of distinct values plus one.
-            back = {True: c.desc_nulls_first(), False: c.asc_nulls_first()}[ascending] if na_option != "top" else {True: c.desc_nulls_last(), False: c.asc_nulls_last()}[ascending]
-            whole = F.dense_rank().over(w) + F.dense_rank().over(Window.orderBy(back)) - 1
-            if na_option == "keep":
-                whole = whole - F.bool_or(c.isNull()).over(everything).cast("int")
-        else:
-            whole = (F.count(c) if na_option == "keep" else F.count(F.lit(1))).over(everything)
-        value = value / whole
-    return F.when(c.isNull(), F.lit(None)).otherwise(value) if na_option == "keep" else value
+        number_ = number_ / F.col(values if method == "dense" else rows)
+    return F.when(F.col(value).isNull(), F.lit(None)).otherwise(number_) if na_option == "keep" else number_, (Prep(value, apply),)
 
 
 class _Moving:
@@ -283,14 +332,14 @@ class _Moving:
         elif name in ("count", "sum", "min", "max"):
             value, seen, preps = running(state, {"value": (fold, x, "sum" if name == "count" else name), "seen": (F.count, F.lit(1) if name == "count" else c, "sum")})
         else:
-            # Means and variances of all rows so far, from sums that blocks can add up.
-            n, s, q, preps = running(state, {"n": (F.count, c, "sum"), "s": (F.sum, x, "sum"), "q": (F.sum, x * x, "sum")}) if _in_blocks(state) else (None, None, None, ())
-            if n is None:
-                w = in_order(state).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-                value, seen = builds["value"](w), builds["seen"](w)
+            if _in_blocks(state):
+                seen, mean, squares, preps = moments(state, c, x)
+                degrees = seen - ddof
+                spread = F.when(degrees > 0, squares / F.when(degrees > 0, degrees))
+                value = {"mean": F.when(seen > 0, mean), "var": spread, "std": F.sqrt(spread)}[name]
             else:
-                spread = F.greatest((q - s * s / n) / F.when(n > (ddof if name != "mean" else 0), n - (ddof if name != "mean" else 0)), F.lit(0.0))
-                value, seen = F.when(n > 0, s / n) if name == "mean" else F.sqrt(spread) if name == "std" else spread, n
+                w = in_order(state).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                value, seen, preps = builds["value"](w), builds["seen"](w), ()
         if name == "count":
             return F.when(seen >= least, value.cast("double")), preps
         if name == "sum" and least == 0:
@@ -323,28 +372,13 @@ class Rolling(_Moving):
     """The last ``window`` rows."""
 
     def __init__(self, owner: DataFrame | Series, window: object, min_periods: object = None, center: bool = False):
-        if center:
-            raise UnsupportedOperationError("center=True is not supported")
-        if isinstance(window, bool) or not isinstance(window, int):
-            raise ValueError("window must be an integer")
-        if window <= 0:
-            raise ValueError("window must be positive")
-        least = window if min_periods is None else min_periods
-        if isinstance(least, bool) or not isinstance(least, int):
-            raise ValueError("min_periods must be an integer")
-        if least < 0:
-            raise ValueError("min_periods must be non-negative")
-        if least > window:
-            raise ValueError("min_periods must not exceed window")
-        super().__init__(owner, window, least)
+        refuse(center=center)
+        rows = whole_number("window", window, least=1, kind=ValueError)
+        super().__init__(owner, rows, rows if min_periods is None else whole_number("min_periods", min_periods, most=rows, kind=ValueError))
 
 
 class Expanding(_Moving):
     """All rows up to each row."""
 
     def __init__(self, owner: DataFrame | Series, min_periods: object = 1):
-        if isinstance(min_periods, bool) or not isinstance(min_periods, int):
-            raise ValueError("min_periods must be an integer")
-        if min_periods < 0:
-            raise ValueError("min_periods must be non-negative")
-        super().__init__(owner, None, min_periods)
+        super().__init__(owner, None, whole_number("min_periods", min_periods, kind=ValueError))

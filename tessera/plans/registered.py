@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame as SparkFrame
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +26,13 @@ def query(sql: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Table
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> SparkFrame:
             session = tessera.Session(spark=spark)
-            frame = f(lambda name, **options: session.read_parquet(f"{sf_dir}/{name}.parquet", **options))
-            return plain(frame)
+
+            def tables(name: str, **options: object) -> DataFrame:
+                return session.read_parquet(f"{sf_dir}/{name}.parquet", **options)
+
+            tables.session = session  # type: ignore[attr-defined]
+            found = f(tables)  # type: ignore[arg-type]
+            return found if isinstance(found, SparkFrame) else plain(found)
 
         QUERIES[f.__name__] = run
         SQL[f.__name__] = sql
@@ -200,10 +208,11 @@ def right_join(t: Tables) -> DataFrame:
     return lines(t).merge(t("orders"), on="o_orderkey", how="right")[["o_orderkey", "o_orderstatus", "lines"]]
 
 
-@query(f"SELECT o_orderkey, o_custkey, lines FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) FULL JOIN (SELECT * FROM {_LINES} WHERE o_orderkey % 3 = 0) USING (o_orderkey)")
+@query(f"SELECT o_orderkey, o_custkey, lines FROM orders FULL JOIN (SELECT o_orderkey + 100 AS o_orderkey, lines FROM {_LINES}) USING (o_orderkey)")
 def outer_join(t: Tables) -> DataFrame:
-    a, b = t("orders"), lines(t)
-    return a[a["o_orderkey"] % 2 == 0].merge(b[b["o_orderkey"] % 3 == 0], on="o_orderkey", how="outer")[["o_orderkey", "o_custkey", "lines"]]
+    f = t("lineitem")
+    shifted = f.assign(o_orderkey=f["l_orderkey"] + 100).groupby("o_orderkey", as_index=False).agg(lines=("l_linenumber", "size"))
+    return t("orders").merge(shifted, on="o_orderkey", how="outer")[["o_orderkey", "o_custkey", "lines"]]
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -257,39 +266,59 @@ def concat_promotion(t: Tables) -> DataFrame:
 # --- aggregates -------------------------------------------------------------------------------------------
 
 
-def _reduction(name: str, sql: str, digits: int | None = None, **options: object) -> None:
-    """A whole-frame reduction of part's columns with holes, as one row."""
-    from tessera.functions.aggregates import aggregate
+def eager(t: Tables, result: pd.DataFrame, kinds: str) -> SparkFrame:
+    """What an eager call returned, as rows: whole numbers, floats and text by ``kinds``."""
+    return t.session.spark.createDataFrame([tuple(None if pd.isna(x) else x for x in row) for row in result.itertuples(index=False)], kinds)
+
+
+def _number(x: object, digits: int | None = None) -> object:
+    x = x.item() if hasattr(x, "item") else x
+    if isinstance(x, bool) or x is None or pd.isna(x):
+        return x if isinstance(x, bool) else None
+    return round(x, digits) if digits is not None else x
+
+
+def _reduction(name: str, sql: str, kind: str, digits: int | None = None, series: bool = False, **options: object) -> None:
+    """A whole-frame reduction of part's columns with holes, or one of each of its series, as one row."""
 
     @query(f"SELECT {sql} FROM ({_HOLES})")
-    def run(t: Tables) -> DataFrame:
+    def run(t: Tables) -> SparkFrame:
         f = holes(t)[["size", "price"]]
-        kinds = f._kinds()
-        columns = {n: aggregate(name, F.col(f._state.labels[n]), kinds[n], **options) for n in f.columns}
-        if digits is not None:
-            columns = {n: F.round(c, digits) for n, c in columns.items()}
-        df = f._state.df.agg(*(c.alias(f"r_{n}") for n, c in columns.items()))
-        return f._at(df=df, labels={n: f"r_{n}" for n in columns}, index=(), order=())
-
-    label = f"reduce_{name}" + ("_strict" if options.get("skipna") is False else "") + ("_pop" if options.get("ddof") == 0 else "")
+        if series:
+            found = [getattr(f[c], name)(**options) if name != "size" else f[c].size for c in f.columns]
+        else:
+            found = list(getattr(f, name)(**options)[["size", "price"]])
+        cast = {"long": int, "double": float, "boolean": bool}
+        row = tuple(None if (x := _number(v, digits)) is None else cast[k](x) for v, k in zip(found, kind.split(), strict=True))
+        return t.session.spark.createDataFrame([row], ", ".join(f"{c} {k}" for c, k in zip(("size", "price"), kind.split(), strict=True)))
+
+    label = ("series" if series else "reduce") + f"_{name}" + ("_strict" if options.get("skipna") is False else "") + ("_pop" if options.get("ddof") == 0 else "") + ("_min_count" if options.get("min_count") else "")
     QUERIES[label], SQL[label] = QUERIES.pop("run"), SQL.pop("run")
 
 
-_reduction("sum", "CAST(sum(size) AS BIGINT) AS size, round(sum(price), 4) AS price", 4)
-_reduction("sum", "CASE WHEN count(*) = count(size) THEN CAST(sum(size) AS BIGINT) END AS size, CASE WHEN count(*) = count(price) THEN sum(price) END AS price", skipna=False)
-_reduction("count", "count(size) AS size, count(price) AS price")
-_reduction("size", "count(*) AS size, count(*) AS price")
-_reduction("mean", "round(avg(size), 6) AS size, round(avg(price), 6) AS price", 6)
-_reduction("min", "min(size) AS size, min(price) AS price")
-_reduction("max", "max(size) AS size, max(price) AS price")
-_reduction("std", "round(stddev_samp(size), 6) AS size, round(stddev_samp(price), 6) AS price", 6)
-_reduction("std", "round(stddev_pop(size), 6) AS size, round(stddev_pop(price), 6) AS price", 6, ddof=0)
-_reduction("var", "round(var_samp(size), 4) AS size, round(var_samp(price), 4) AS price", 4)
-_reduction("median", "round(median(size), 6) AS size, round(median(price), 6) AS price", 6)
-_reduction("quantile", "round(quantile_cont(size, 0.3), 6) AS size, round(quantile_cont(price, 0.3), 6) AS price", 6, q=0.3)
-_reduction("any", "coalesce(bool_or(size <> 0), false) AS size, coalesce(bool_or(price <> 0), false) AS price")
-_reduction("all", "coalesce(bool_and(size <> 0), true) AS size, coalesce(bool_and(price <> 0), true) AS price")
-_reduction("nunique", "count(DISTINCT size) AS size, count(DISTINCT price) AS price")
+_WHOLE, _MIXED, _REAL, _TRUTH = "long long", "long double", "double double", "boolean boolean"
+for _s in (False, True):
+    _reduction("sum", "CAST(sum(size) AS BIGINT) AS size, round(sum(price), 4) AS price", _MIXED, 4, _s)
+    _reduction("sum", "CASE WHEN count(*) = count(size) THEN CAST(sum(size) AS BIGINT) END AS size, CASE WHEN count(*) = count(price) THEN sum(price) END AS price", _MIXED, None, _s, skipna=False)
+    _reduction("sum", "CASE WHEN count(size) >= 1000000 THEN CAST(sum(size) AS BIGINT) END AS size, CASE WHEN count(price) >= 1000000 THEN sum(price) END AS price", _MIXED, None, _s, min_count=1000000)
+    _reduction("count", "count(size) AS size, count(price) AS price", _WHOLE, None, _s)
+    _reduction("mean", "round(avg(size), 6) AS size, round(avg(price), 6) AS price", _REAL, 6, _s)
+    _reduction("min", "min(size) AS size, min(price) AS price", _MIXED, None, _s)
+    _reduction("max", "max(size) AS size, max(price) AS price", _MIXED, None, _s)
+    _reduction("std", "round(stddev_samp(size), 6) AS size, round(stddev_samp(price), 6) AS price", _REAL, 6, _s)
+    _reduction("std", "round(stddev_pop(size), 6) AS size, round(stddev_pop(price), 6) AS price", _REAL, 6, _s, ddof=0)
+    _reduction("var", "round(var_samp(size), 4) AS size, round(var_samp(price), 4) AS price", _REAL, 4, _s)
+    _reduction("median", "round(median(size), 6) AS size, round(median(price), 6) AS price", _REAL, 6, _s)
+    _reduction("quantile", "round(quantile_cont(size, 0.3), 6) AS size, round(quantile_cont(price, 0.3), 6) AS price", _REAL, 6, _s, q=0.3)
+    _reduction("any", "coalesce(bool_or(size <> 0), false) AS size, coalesce(bool_or(price <> 0), false) AS price", _TRUTH, None, _s)
+    _reduction("all", "coalesce(bool_and(size <> 0), true) AS size, coalesce(bool_and(price <> 0), true) AS price", _TRUTH, None, _s)
+    _reduction("nunique", "count(DISTINCT size) AS size, count(DISTINCT price) AS price", _WHOLE, None, _s)
+_reduction("size", "count(*) AS size, count(*) AS price", _WHOLE, None, True)
+
+
+@query("SELECT 4 * count(*) AS n FROM part")
+def frame_size(t: Tables) -> SparkFrame:
+    return t.session.spark.createDataFrame([(int(holes(t).size),)], "n long")
 
 
 @query("""SELECT o_orderpriority, CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS s, round(avg(o_totalprice), 4) AS m, min(o_totalprice) AS lo, max(o_totalprice) AS hi,
@@ -321,9 +350,132 @@ def series_groupby(t: Tables) -> DataFrame:
     return rounded((f["value"] * 2).groupby("event_type").max(), "value")
 
 
-@query("SELECT p_type AS p_type, count(*) AS n FROM part GROUP BY 1")
-def value_counts(t: Tables) -> DataFrame:
-    return t("part").groupby("p_type", as_index=False, dropna=True).agg(n=("p_type", "size"))
+@query("SELECT p_type, count(*) AS n FROM part GROUP BY 1")
+def value_counts(t: Tables) -> SparkFrame:
+    found = t("part")["p_type"].value_counts()
+    assert list(found) == sorted(found, reverse=True)
+    return eager(t, pd.DataFrame({"p_type": found.index, "n": [int(x) for x in found]}), "p_type string, n long")
+
+
+@query(f"SELECT DISTINCT brand FROM ({_HOLES})")
+def unique(t: Tables) -> SparkFrame:
+    return eager(t, pd.DataFrame({"brand": list(holes(t)["brand"].unique())}), "brand string")
+
+
+@query(f"SELECT brand, coalesce(CAST(sum(size) AS BIGINT), 0) AS size, coalesce(round(sum(price), 4), 0) AS price FROM ({_HOLES}) WHERE brand IS NOT NULL GROUP BY 1")
+def groupby_selected_columns(t: Tables) -> DataFrame:
+    g = holes(t).groupby("brand", as_index=False)
+    return rounded(g[["size", "price"]].sum(), "price", digits=4)
+
+
+@query(f"SELECT brand, max(size) AS size FROM ({_HOLES}) WHERE brand IS NOT NULL GROUP BY 1")
+def groupby_selected_column(t: Tables) -> DataFrame:
+    return holes(t).groupby("brand")["size"].max().reset_index()
+
+
+@query(f"SELECT brand, count(size) AS size, round(avg(price), 6) AS price FROM ({_HOLES}) WHERE brand IS NOT NULL GROUP BY 1")
+def groupby_agg_dict(t: Tables) -> DataFrame:
+    return rounded(holes(t).groupby("brand", as_index=False).agg({"size": "count", "price": "mean"}), "price")
+
+
+@query(f"SELECT brand, round(median(p_partkey), 6) AS p_partkey, round(median(size), 6) AS size, round(median(price), 6) AS price FROM ({_HOLES}) WHERE brand IS NOT NULL GROUP BY 1")
+def groupby_agg_string(t: Tables) -> DataFrame:
+    return rounded(rounded(rounded(holes(t).groupby("brand", as_index=False).agg("median"), "p_partkey"), "size"), "price")
+
+
+def _convenience(name: str, sql: str) -> None:
+    @query(f"SELECT brand, {', '.join(sql.format(c) + ' AS ' + c for c in ('size', 'price'))} FROM ({_HOLES}) WHERE brand IS NOT NULL GROUP BY 1")
+    def run(t: Tables) -> DataFrame:
+        out = getattr(holes(t)[["brand", "size", "price"]].groupby("brand", as_index=False), name)()
+        return rounded(rounded(out, "size", digits=4), "price", digits=4) if name == "mean" else out
+
+    QUERIES[f"groupby_{name}"], SQL[f"groupby_{name}"] = QUERIES.pop("run"), SQL.pop("run")
+
+
+for _n, _q in (("mean", "round(avg({0}), 4)"), ("min", "min({0})"), ("max", "max({0})"), ("count", "count({0})")):
+    _convenience(_n, _q)
+
+
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS m, min(value) AS lo, round(stddev_samp(value), 6) AS sd, round(var_samp(value), 4) AS v, round(median(value), 6) AS md, count(*) AS rows FROM events GROUP BY 1")
+def series_groupby_functions(t: Tables) -> DataFrame:
+    f = t("events")
+    g = f["value"].groupby("event_type", as_index=False)
+    out = g.count().rename(columns={"value": "n"})
+    for label, found in (("m", g.mean()), ("lo", g.min()), ("sd", g.std()), ("v", g.var()), ("md", g.median()), ("rows", g.size())):
+        out = out.merge(found.rename(columns={"value": label}), on="event_type")
+    return rounded(rounded(rounded(rounded(out, "m"), "sd"), "md"), "v", digits=4)
+
+
+@query("""SELECT l_shipmode_ AS flag, round(avg(share), 9) AS mean_share, round(avg(net), 4) AS mean_net, max(l_extendedprice) AS hi, min(l_extendedprice) AS lo, count(*) AS n
+FROM (SELECT l_returnflag AS l_shipmode_, l_extendedprice, l_tax / (l_discount + 1) AS share, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_linestatus = 'O') GROUP BY 1""")
+def filter_derive_group(t: Tables) -> DataFrame:
+    """Filter, derived columns, then grouped mean, mean, max, min and count over a wide scan."""
+    f = t("lineitem")
+    f = f[f["l_linestatus"] == "O"]
+    f = f.assign(share=f["l_tax"] / (f["l_discount"] + 1), net=f["l_extendedprice"] * (1 - f["l_discount"]))
+    g = f.groupby("l_returnflag", as_index=False).agg(mean_share=("share", "mean"), mean_net=("net", "mean"), hi=("l_extendedprice", "max"), lo=("l_extendedprice", "min"), n=("l_extendedprice", "count"))
+    return rounded(rounded(g, "mean_share", digits=9), "mean_net", digits=4).rename(columns={"l_returnflag": "flag"})
+
+
+# --- boundaries and sources -------------------------------------------------------------------------------
+
+_PART = "SELECT p_partkey, p_name, p_size, p_retailprice FROM part"
+_PART_COLUMNS = ["p_partkey", "p_name", "p_size", "p_retailprice"]
+
+
+def _place(t: Tables) -> str:
+    """A new path in the folder that the cluster shares."""
+    spark = t.session.spark
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="frames-")
+    return f"{folder.rstrip('/')}/frames-{uuid.uuid4().hex}"
+
+
+@query(_PART)
+def collect_from_pandas(t: Tables) -> DataFrame:
+    return t.session.from_pandas(t("part")[_PART_COLUMNS].collect())
+
+
+@query(_PART)
+def to_arrow_from_arrow(t: Tables) -> DataFrame:
+    return t.session.from_arrow(t("part")[_PART_COLUMNS].to_arrow())
+
+
+@query(_PART)
+def to_arrow_batches(t: Tables) -> DataFrame:
+    return t.session.from_arrow(t("part")[_PART_COLUMNS].to_arrow_batches(300).read_all())
+
+
+@query(_PART + " ORDER BY p_partkey LIMIT 7")
+def head(t: Tables) -> DataFrame:
+    return t.session.from_pandas(t("part", order_by="p_partkey")[_PART_COLUMNS].head(7))
+
+
+@query(_PART)
+def write_parquet(t: Tables) -> DataFrame:
+    path = _place(t)
+    t("part")[_PART_COLUMNS].write_parquet(path, compression="zstd")
+    return t.session.read_parquet(path)
+
+
+@query(_PART)
+def write_csv_read_csv(t: Tables) -> DataFrame:
+    path = _place(t)
+    t("part")[_PART_COLUMNS].write_csv(path, sep="|")
+    return t.session.read_csv(path, delimiter="|").astype({"p_size": "int32"})
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size > 25")
+def persist_table(t: Tables) -> DataFrame:
+    f = t("part")
+    name = f"frames_{uuid.uuid4().hex}"
+    f[f["p_size"] > 25][["p_partkey", "p_size"]].persist(name)
+    return t.session.table(name)
+
+
+@query("SELECT p_brand, p_size FROM part")
+def series_collect(t: Tables) -> DataFrame:
+    f = t("part", order_by="p_partkey")
+    return t.session.from_pandas(pd.DataFrame({"p_brand": f["p_brand"].collect().to_list(), "p_size": f["p_size"].collect().astype("int32").to_list()}))
 
 
 # --- windows ----------------------------------------------------------------------------------------------
@@ -333,8 +485,7 @@ _EV = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(val
 
 def ordered_events(t: Tables) -> DataFrame:
     f = t("events", order_by="event_id")
-    state = f._state
-    f = DataFrame(state.with_columns({"v": F.floor(F.col(state.labels["value"]) * 100).cast("bigint")})[0])
+    f = f.assign(v=(f["value"] * 100).astype("int64"))
     return f.assign(v=f["v"].mask(f["event_id"] % 7 == 0))[["event_id", "v"]]
 
 
@@ -344,10 +495,12 @@ def cumulative(t: Tables) -> DataFrame:
     return f.assign(s=f["v"].cumsum(), lo=f["v"].cummin(), hi=f["v"].cummax())[["event_id", "s", "lo", "hi"]]
 
 
-@query(f"SELECT event_id, CASE WHEN NOT bool_or(v IS NULL) OVER w THEN CAST(sum(v) OVER w AS BIGINT) END AS s, CAST(product(1 + (event_id % 2)::DOUBLE * 0) OVER w AS BIGINT) AS p FROM ({_EV}) WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+@query(f"""SELECT event_id, CASE WHEN NOT bool_or(event_id % 5000 = 4999) OVER w THEN CAST(sum(coalesce(v, 1)) OVER w AS BIGINT) END AS s, round(product((event_id + 2) / (event_id + 1)::DOUBLE) OVER w, 4) AS p
+FROM ({_EV}) WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
 def cumulative_strict_and_product(t: Tables) -> DataFrame:
     f = ordered_events(t)
-    return f.assign(s=f["v"].cumsum(skipna=False), p=(f["event_id"] * 0 + 1).cumprod())[["event_id", "s", "p"]]
+    strict = f["v"].fillna(1).mask(f["event_id"] % 5000 == 4999)
+    return rounded(f.assign(s=strict.cumsum(skipna=False), p=((f["event_id"] + 2) / (f["event_id"] + 1)).cumprod())[["event_id", "s", "p"]], "p", digits=4)
 
 
 @query(f"SELECT event_id, lag(v, 2) OVER w AS a, lead(v, 1, -1) OVER w AS b, v - lag(v) OVER w AS d FROM ({_EV}) WINDOW w AS (ORDER BY event_id)")
@@ -400,6 +553,76 @@ def expanding(t: Tables) -> DataFrame:
     return f.assign(s=e.sum(), c=f["v"].expanding(1).count(), hi=e.max())[["event_id", "s", "c", "hi"]]
 
 
+@query(f"SELECT CAST(sum(event_id) OVER w AS BIGINT) AS event_id, CASE WHEN v IS NOT NULL THEN CAST(sum(v) OVER w AS BIGINT) END AS v FROM ({_EV}) WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def frame_cumulative(t: Tables) -> DataFrame:
+    return ordered_events(t).cumsum()
+
+
+@query(f"SELECT lag(event_id, 3) OVER w AS event_id, lag(v, 3) OVER w AS v FROM ({_EV}) WINDOW w AS (ORDER BY event_id)")
+def frame_shift(t: Tables) -> DataFrame:
+    return ordered_events(t).shift(3)
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY event_id) AS DOUBLE) AS event_id, CASE WHEN v IS NOT NULL THEN rank() OVER (ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 END AS v FROM ({_EV})")
+def frame_rank(t: Tables) -> DataFrame:
+    return ordered_events(t).rank()
+
+
+@query(f"SELECT CASE WHEN row_number() OVER (ORDER BY event_id) >= 3 THEN CAST(sum(event_id) OVER w AS DOUBLE) END AS event_id, CASE WHEN count(v) OVER w >= 3 THEN CAST(sum(v) OVER w AS DOUBLE) END AS v FROM ({_EV}) WINDOW w AS (ORDER BY event_id ROWS 3 PRECEDING)")
+def frame_rolling(t: Tables) -> DataFrame:
+    return ordered_events(t).rolling(4, 3).sum()
+
+
+@query(f"""SELECT event_id, CASE WHEN count(v) OVER w >= 1 THEN round(avg(v) OVER w, 6) END AS m, CASE WHEN count(v) OVER w >= 1 THEN CAST(min(v) OVER w AS DOUBLE) END AS lo,
+CASE WHEN count(v) OVER w >= 2 THEN round(stddev_samp(v) OVER w, 4) END AS sd, CASE WHEN count(v) OVER w >= 2 THEN round(var_samp(v) OVER w / 700, 3) END AS va FROM ({_EV}) WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def expanding_moments(t: Tables) -> DataFrame:
+    f = ordered_events(t)
+    e = f["v"].expanding()
+    g = f.assign(m=e.mean(), lo=e.min(), sd=e.std(), va=e.var() / 700)[["event_id", "m", "lo", "sd", "va"]]
+    return rounded(rounded(rounded(g, "m"), "sd", digits=4), "va", digits=3)
+
+
+@query(f"SELECT event_id, CASE WHEN count(v) OVER w >= 4 THEN round(var_samp(v) OVER w / 700, 3) END AS va FROM ({_EV}) WINDOW w AS (ORDER BY event_id ROWS 3 PRECEDING)")
+def rolling_var(t: Tables) -> DataFrame:
+    f = ordered_events(t)
+    return rounded(f.assign(va=f["v"].rolling(4).var() / 700)[["event_id", "va"]], "va", digits=3)
+
+
+# --- more joins and assignments ---------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey, n_name, c_custkey FROM nation JOIN customer ON n_nationkey = c_nationkey")
+def merge_common_keys(t: Tables) -> DataFrame:
+    c = t("customer").rename(columns={"c_nationkey": "n_nationkey"})
+    return t("nation")[["n_nationkey", "n_name"]].merge(c[["n_nationkey", "c_custkey"]])
+
+
+@query("SELECT o_custkey AS k, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY k, o_orderkey LIMIT 50")
+def merge_sorted(t: Tables) -> DataFrame:
+    a, b = t("orders").rename(columns={"o_custkey": "k"}), t("customer").rename(columns={"c_custkey": "k"})
+    joined = a[["k", "o_orderkey"]].merge(b[["k", "c_name"]], on="k", sort=True)
+    assert joined.ordering[0] == "k"
+    return joined.sort_values(["k", "o_orderkey"]).limit(50)
+
+
+@query("SELECT p_partkey, p_size * 2 AS p_size, 'x' AS tag FROM part")
+def set_item(t: Tables) -> DataFrame:
+    f = t("part")[["p_partkey", "p_size"]]
+    f["p_size"] = f["p_size"] * 2
+    f["tag"] = "x"
+    return f
+
+
+@query("SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 12")
+def series_nlargest(t: Tables) -> DataFrame:
+    return t("orders", order_by="o_orderkey")["o_totalprice"].nlargest(12).to_frame()
+
+
+@query("SELECT s_acctbal FROM supplier ORDER BY s_acctbal LIMIT 9")
+def series_nsmallest(t: Tables) -> DataFrame:
+    return t("supplier", order_by="s_suppkey")["s_acctbal"].nsmallest(9).to_frame()
+
+
 # --- distinct rows, top rows, positions -------------------------------------------------------------------
 
 
@@ -424,7 +647,7 @@ def drop_duplicates_none(t: Tables) -> DataFrame:
 
 
 @query("SELECT DISTINCT o_orderpriority FROM orders")
-def unique_values(t: Tables) -> DataFrame:
+def series_drop_duplicates(t: Tables) -> DataFrame:
     return t("orders")["o_orderpriority"].drop_duplicates().to_frame()
 
 
@@ -461,9 +684,9 @@ WHERE r.r_name = 'ASIA' GROUP BY n.n_name"""
 
 
 def sql_passthrough(spark: SparkSession, sf_dir: str) -> SparkFrame:
-    session = tessera.Session(spark=spark)
+    session = tessera.Session(spark=spark.newSession())  # its views are its own
     for name in ("orders", "customer", "nation", "region"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        session.spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return plain(session.sql(_TPCH))
 
 
