@@ -14,6 +14,7 @@ task packs the same rows into the same windows again.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +34,12 @@ BATCH_TOKENS = 1 << 18
 #: Tokens that a step group should hold.
 STEP_TOKENS = 1 << 14
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The special strings of a tokenizer's .json file, each of which is one id wherever it stands."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 Piece = tuple[int, int, int]  # rest's number, start in it, length
 
 
@@ -133,7 +140,8 @@ def pack_documents(docs: DataFrame, path: str, specials: dict[str, int], end_id:
 
     A null or empty text still has its ``end_id``; repeated rows are packed each; null ids are kept; an empty
     table gives no rows; other columns are not read. Every id lies in exactly one piece, ``offset`` runs gapless
-    through a sequence, and every sequence is as long as a power of two.
+    through a sequence, and every sequence is as long as a power of two. A long text is encoded a stretch at a time;
+    its ids (four bytes each) and its full windows are held by one task until they are given out.
     """
     marks = tuple(sorted((k.encode(), v) for k, v in specials.items()))
     longest = tiers[0]

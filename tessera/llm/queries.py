@@ -40,9 +40,9 @@ def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack_documents
+    from .packing import pack_documents, special_tokens
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256})
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), special_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: what the session names, else one of our own where none is set (tests)."""
+    """The checkpoint folder: what the session names, else one of our own where none is set and all run on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return context.getCheckpointDir()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .language import keep_identified, train
 from .near_dup import near_duplicates
-from .packing import pack_documents
+from .packing import pack_documents, special_tokens
 from .shared import written
 from .substring import drop_repeats
 
@@ -31,7 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: that with the least id. Repeated rows count as copies.
 
     What is kept is a row of id and text, so rows with null or repeated ids are each judged by their own text; a null
-    id comes last, and of rows with the same id one stays. A text without words is a group of its own.
+    id comes last, and of rows with the same id one stays. Of rows alike in id and text one stays, whichever, with its
+    own other columns. A text without words is a group of its own.
     """
     docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
     groups = near_duplicates(spark, docs.select(F.col("row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
@@ -42,11 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages that occur again out of the texts; a text without any stays as it is."""
+    """Takes passages that occur again out of the texts, every copy of them; a text without any stays as it is."""
     out = drop_repeats(spark, docs, PASSAGE_WORDS, keep_text=True, carry=("lang", "source", "n_chars"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into windows; the pieces are the pipeline's result."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), {"<|endoftext|>": 50256})
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), special_tokens(public_tokenizers.path("byte_bpe_50k.json")))
