@@ -426,7 +426,11 @@ _PART_COLUMNS = ["p_partkey", "p_name", "p_size", "p_retailprice"]
 def _place(t: Tables) -> str:
     """A new path in the folder that the cluster shares."""
     spark = t.session.spark
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="frames-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="frames-")
     return f"{folder.rstrip('/')}/frames-{uuid.uuid4().hex}"
 
 
