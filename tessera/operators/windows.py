@@ -20,8 +20,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
+from weakref import WeakKeyDictionary
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column
 from pyspark.sql import DataFrame as SparkFrame
 from pyspark.sql import functions as F
@@ -258,37 +260,59 @@ def rank(state: State, c: Column, kind: T.DataType, method: str, na_option: str,
         raise UnorderedOperationError("ties ranked by first appearance need a guaranteed row order")
     if not _has_blocks(kind):
         raise UnsupportedOperationError(f"values of type {kind.simpleString()} cannot be ranked")
-    value, place, block, ties, distinct_, before, earlier, local, rows, values = (fresh() for _ in range(10))
-    key = Key(value, None, ascending, na_option != "top")
+    nulls_last = na_option != "top"
+    known = _places.setdefault(state, {})
+    asked = (c._jc.toString(), ascending, nulls_last)
+    if asked not in known:  # the methods of one series share one look at its values
+        known[asked] = _place_of_values(state, c, ascending, nulls_last)
+    value, ties, before, dense, preps = known[asked]
+    number_ = {"min": before + 1, "max": before + ties, "average": before + (ties + 1) / F.lit(2.0), "dense": dense, "first": before}[method]
+    if method == "first":
+        place = fresh()
+        order = [k.spark() for k in state.order]
+        preps = (*preps, Prep(place, lambda df: df.withColumn(place, F.row_number().over(Window.partitionBy(value).orderBy(*order)))))
+        number_ = before + F.col(place)
+    number_ = number_.cast("double")
+    if pct:
+        whole = fresh()
+        counted = F.countDistinct(c) if method == "dense" else F.count(c)
+        if na_option != "keep":
+            counted = counted + F.max(c.isNull()).cast("int") if method == "dense" else F.count(F.lit(1))
+        preps = (*preps, Prep(whole, lambda df: df.crossJoin(F.broadcast(_base(state, c, df).agg(counted.alias(whole))))))  # one row
+        number_ = number_ / F.col(whole)
+    return F.when(value.isNull(), F.lit(None)).otherwise(number_) if na_option == "keep" else number_, preps
+
+
+#: What ranks of a state's series share, by series and direction.
+_places: WeakKeyDictionary[State, dict[tuple, tuple]] = WeakKeyDictionary()
+
+
+def _base(state: State, c: Column, df: SparkFrame) -> SparkFrame:
+    """The state's own rows if they have what ``c`` needs: they are not grown by the joins of other preparations."""
+    try:
+        state.df.select(c)
+    except AnalysisException:
+        return df
+    return state.df
+
+
+def _place_of_values(state: State, c: Column, ascending: bool, nulls_last: bool) -> tuple[Column, Column, Column, Column, tuple[Prep, ...]]:
+    """For each row its value, how many rows have it, how many come before them, and its place among the values."""
+    value, place, block, ties, dense, before, earlier, local = (fresh() for _ in range(8))
+    key = Key(value, None, ascending, nulls_last)
 
     def apply(df: SparkFrame) -> SparkFrame:
-        df = df.withColumn(value, c)
-        counts = _with_block(df.groupBy(value).agg(F.count(F.lit(1)).alias(ties)), key, block)
+        counts = _base(state, c, df).select(c.alias(value)).groupBy(value).agg(F.count(F.lit(1)).alias(ties))
+        counts = _with_block(counts, key, block)
         totals = counts.groupBy(block).agg(F.sum(ties).alias(before), F.count(F.lit(1)).alias(earlier))
         ahead = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.select(block, *(F.coalesce(F.sum(x).over(ahead), F.lit(0)).alias(x) for x in (before, earlier)))
         w = Window.partitionBy(block).orderBy(key.spark()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = counts.withColumns({local: F.sum(ties).over(w), distinct_: F.row_number().over(w)}).join(F.broadcast(totals), block)
-        ranked = ranked.select(F.col(value).alias(place), ties, (F.col(before) + F.col(local) - F.col(ties)).alias(before), (F.col(earlier) + F.col(distinct_)).alias(distinct_))
-        df = df.join(ranked, F.col(value).eqNullSafe(F.col(place)))
-        if pct:
-            count = F.lit(1) if na_option != "keep" else F.col(value)
-            whole = counts.agg(F.sum(F.when(F.col(value).isNotNull() | F.lit(na_option != "keep"), F.col(ties))).alias(rows), F.count(count).alias(values))
-            df = df.crossJoin(F.broadcast(whole))  # one row
-        if method == "first":
-            df = df.withColumn(local, F.row_number().over(Window.partitionBy(value).orderBy(*(k.spark() for k in state.order))))
-        return df
+        ranked = counts.withColumns({local: F.sum(ties).over(w), dense: F.row_number().over(w)}).join(F.broadcast(totals), block)
+        ranked = ranked.select(F.col(value).alias(place), ties, (F.col(before) + F.col(local) - F.col(ties)).alias(before), (F.col(earlier) + F.col(dense)).alias(dense))
+        return df.withColumn(value, c).join(ranked, F.col(value).eqNullSafe(F.col(place))).drop(place)
 
-    number_ = {
-        "min": F.col(before) + 1,
-        "max": F.col(before) + F.col(ties),
-        "average": F.col(before) + (F.col(ties) + 1) / F.lit(2.0),
-        "dense": F.col(distinct_),
-        "first": F.col(before) + F.col(local),
-    }[method].cast("double")
-    if pct:
-        number_ = number_ / F.col(values if method == "dense" else rows)
-    return F.when(F.col(value).isNull(), F.lit(None)).otherwise(number_) if na_option == "keep" else number_, (Prep(value, apply),)
+    return F.col(value), F.col(ties), F.col(before), F.col(dense), (Prep(value, apply),)
 
 
 class _Moving:
