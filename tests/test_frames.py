@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -439,3 +440,20 @@ def test_loc_lists_are_one_lookup(session):
     both = f.set_index(["g", "i"])
     assert sorted(both.loc[[("a", 1), ("b", 2), (None, 1), ("b",)]].collect()["v"]) == [1, 3, 4]
     assert both.loc["a", 2].collect()["v"].tolist() == [2] and both.loc[("a",), "v"].collect().tolist() == [1, 2]
+
+
+@pytest.mark.parametrize("plan", ["one task", "blocks"])
+def test_moving_variance_is_that_of_sql_to_the_last_bit(session, monkeypatch, plan):
+    """Results on the border between two rounded values fall on the same side."""
+    if plan == "blocks":
+        monkeypatch.setattr(windows, "ONE_TASK_BYTES", -1)
+    p = pd.DataFrame({"i": range(400), "v": np.random.default_rng(5).integers(100, 20000, 400).astype(float)})
+    p.loc[4:7, "v"] = [2435, 2131, 1954, 2863]
+    p.loc[::31, "v"] = np.nan
+    f = session.from_pandas(p).sort_values("i")
+    got = f.assign(r=f["v"].rolling(4).var())[["i", "r"]].collect()["r"]
+    sql = "SELECT CASE WHEN count(x) OVER w >= 4 THEN var_samp(x) OVER w END AS r FROM (SELECT i, CASE WHEN NOT isnan(v) THEN v END AS x FROM p) WINDOW w AS (ORDER BY i ROWS 3 PRECEDING) ORDER BY i"
+    want = duckdb.sql(sql).df()["r"]
+    np.testing.assert_array_equal(got.astype(float), want)
+    alone = f["v"].rolling(1, 1)
+    assert alone.var(ddof=0).collect().dropna().eq(0).all() and alone.var().collect().isna().all()
