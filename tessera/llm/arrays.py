@@ -6,6 +6,7 @@ pre-tokens are index arrays instead of Python strings.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
@@ -15,6 +16,9 @@ import pyarrow as pa
 #: Bytes of text handled at once by one task; it bounds the temporary arrays (about 40 times this).
 CHUNK_BYTES = 3 << 20
 
+#: The same for operators on pairs, whose tasks need more arrays, and beside which Spark sorts and joins.
+NARROW_BYTES = 1 << 20
+
 #: Bytes beyond which a slice's hash is taken from a digest.
 LONG_WORD = 4096
 
@@ -39,6 +43,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker outlives its task, and the next ones need it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in pieces of at most ``most`` bytes of ``text`` (a longer row stands alone)."""
     for batch in batches:
@@ -51,6 +62,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+        give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,13 +135,14 @@ def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def sequence_digests(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray, size: int = 16) -> list[bytes]:
     """BLAKE2 digest of each run ``first:last`` of slices, joined by one space."""
     ends_in_space = np.append(body, np.uint8(32))
+    most = CHUNK_BYTES >> 4  # words at once; copying them takes about 100 bytes a word
     out, at = [], 0
     while at < len(first):
         to, words_ = at + 1, int(last[at] - first[at])
-        while to < len(first) and words_ + int(last[to] - first[to]) <= CHUNK_BYTES >> 2:
+        while to < len(first) and words_ + int(last[to] - first[to]) <= most:
             words_ += int(last[to] - first[to])
             to += 1
-        if words_ <= CHUNK_BYTES >> 2:
+        if words_ <= most:
             row, place = spread(last[at:to] - first[at:to])
             item = first[at:to][row] + place
             flat, off = gather(ends_in_space, starts[item], ends[item] + 1)
@@ -138,8 +151,8 @@ def sequence_digests(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, fir
             out += [blake2b(view[a:b], digest_size=size).digest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
         else:  # one long run, a stretch at a time
             digest = blake2b(digest_size=size)
-            for a in range(int(first[at]), int(last[at]), CHUNK_BYTES >> 3):
-                b = min(a + (CHUNK_BYTES >> 3), int(last[at]))
+            for a in range(int(first[at]), int(last[at]), most):
+                b = min(a + most, int(last[at]))
                 flat, off = gather(ends_in_space, starts[a:b], ends[a:b] + 1)
                 flat[off[1:] - 1] = 32
                 digest.update(flat)
@@ -184,7 +197,8 @@ def gather(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     size = ends - starts
     off = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=off[1:])
-    at = np.arange(off[-1]) + np.repeat(starts - off[:-1], size)
+    at = np.repeat(starts - off[:-1], size)
+    at += np.arange(off[-1])
     return body[at], off
 
 

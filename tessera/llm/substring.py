@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .arrays import chunks, mix, range_hashes, sequence_digests, sliding_hashes, text_buffers, word_hashes, words
+from .arrays import NARROW_BYTES, chunks, mix, range_hashes, sequence_digests, sliding_hashes, text_buffers, word_hashes, words
 from .components import components
 from .shared import discard, written
 
@@ -98,7 +98,7 @@ def scan_paths(docs: DataFrame, width: int) -> DataFrame:
     """All paths of all texts with their source coordinates; ``docs`` has kid, kh and text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", NARROW_BYTES):
             body, off = text_buffers(batch.column(2))
             starts, ends, first = words(body, off)
             for owner, anchor, path, start, count in _stretches(word_hashes(body, starts, ends), first, width):
@@ -122,7 +122,7 @@ def read_sources(sources: DataFrame, width: int) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", NARROW_BYTES):
             body, off = text_buffers(batch.column(2))
             starts, ends, first = words(body, off)
             word_hash = word_hashes(body, starts, ends)
@@ -238,7 +238,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, width: int, keep_text: bo
     schema = T.StructType([T.StructField(n, t()) for n, t in (("doc_id", T.LongType), ("n_words", T.LongType), ("n_removed", T.LongType), ("kept_sha256", T.StringType), ("longest_repeat", T.LongType), ("text", T.StringType))][: 5 + keep_text] + [both.schema[n] for n in own])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", NARROW_BYTES):
             body, off = text_buffers(batch.column(1))
             starts, ends, first = words(body, off)
             n = batch.num_rows
@@ -270,7 +270,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, width: int, keep_text: bo
             size = (ends - starts)[kept] + 1
             ahead = np.zeros(len(size) + 1, np.int64)
             np.cumsum(size, out=ahead[1:])
-            at = np.arange(ahead[-1]) + np.repeat(starts[kept] - ahead[:-1], size)
+            at = np.repeat(starts[kept] - ahead[:-1], size)
+            at += np.arange(ahead[-1])
             joined = np.append(body, np.uint8(32))[at]
             joined[ahead[1:] - 1] = 32
             low = ahead[total[first[:-1]]]

@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import near_dup, substring
+from tessera.llm import arrays, near_dup, substring
 from tessera.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -214,3 +216,25 @@ def test_repeats_keep_text_and_columns(spark):
     got = {r.doc_id: (r.text, r.source) for r in substring.drop_repeats(spark, docs, 35, True, ("source",)).collect()}
     assert got == {1: ("A start end", "s1"), 2: ("", "s2"), 3: ("left\nas it is", None), 4: (None, "s4")}
     assert substring.drop_repeats(spark, docs.limit(0), 35).collect() == []
+
+
+def test_memory_of_a_chunk():
+    """Digests of many overlapping runs, and the sets of texts handled at once, take bounded memory."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"word{i}" for i in range(5000)]
+    texts = [" ".join(rng.choice(vocabulary, 500)) for _ in range(900)]
+    body, off = arrays.text_buffers(pa.array(texts))
+    starts, ends, first = arrays.words(body, off)
+    begin = np.arange(0, len(starts) - 60, 20)
+    tracemalloc.start()
+    try:
+        got = arrays.sequence_digests(body, starts, ends, begin, begin + 60)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+        assert got[7] == blake2b(b"".join(bytes(body[a:b]) + b" " for a, b in zip(starts[140:200], ends[140:200], strict=True)), digest_size=16).digest()
+        del got, begin, starts, ends
+        batch = pa.RecordBatch.from_pydict({"text": texts})
+        tracemalloc.reset_peak()
+        assert sum(len(near_dup.shingle_sets(x.column(0), 3, digests=True)[0]) for x in near_dup._pieces([batch], "text")) > 400_000
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
