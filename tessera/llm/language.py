@@ -23,6 +23,8 @@ from .bpe import class_table
 TRAIN_ROWS = 4000
 #: Words that the Viterbi pass holds at once: the scores of longer texts are carried on from block to block.
 BLOCK_WORDS = 1 << 17
+#: Bytes of text looked at together: about the words of one block.
+BLOCK_BYTES = 3 << 18
 #: Buckets of hashed trigrams; the model holds this many floats for each language.
 BUCKETS = 1 << 16
 #: What a change of language costs, in nats, and what one word may say against a language at most.
@@ -236,7 +238,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     kind = ", spans array<struct<start: int, end: int, lang: string>>" * spans
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", BLOCK_BYTES):
             names, score, runs, label = _predict(model, batch.column(2))
             out, cols = [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"]
             if spans:
@@ -260,7 +262,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, with a language other than ``und`` and a score of ``least`` or more."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", BLOCK_BYTES):
             names, score, _, _ = _predict(model, batch.column(batch.schema.get_field_index("text")))
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
 

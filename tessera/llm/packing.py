@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import chunks, text_buffers
+from .arrays import NARROW_BYTES, chunks, text_buffers
 from .bpe import encoder
 
 #: Context sizes, longest first; powers of two.
@@ -175,7 +175,7 @@ def pack_documents(docs: DataFrame, path: str, specials: dict[str, int], end_id:
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", NARROW_BYTES):
             body, off = text_buffers(batch.column(1))
             flat, ends = bpe.encode(body, off)
             ends = ends.tolist()
