@@ -162,6 +162,32 @@ def test_candidates_against_all_pairs(spark):
     assert (votes[agree] >= media.SHARED_KEYS).all() and agree.sum() >= 32
 
 
+def test_large_groups_confirm_few_pairs_and_keep_the_links(spark, monkeypatch):
+    """Pictures made of the same patches: nearly all pairs share keys, but few pairs of corners; copies are found all the same."""
+    r = np.random.default_rng(12)
+    some = [media.draw(v / np.linalg.norm(v)) for v in r.normal(size=(60, 64))]
+    plain = some + [media.edited(x, i % 5) for i, x in enumerate(some)]
+    known = [media.describe(x.astype(np.float32)[None])[0] for x in plain]
+    both = tuple(map(list, zip(*known, strict=True)))
+    wanted = np.stack(list(media.pair_candidates(both, both)))
+    keys = [np.unique(media.table_keys(d)) for _, d in known]
+    upper = np.triu(np.ones(wanted.shape, bool), 1)
+    assert (np.stack(list(media.shared_keys(keys, keys))) >= media.SHARED_KEYS)[upper].mean() > 0.5 > 0.1 > wanted[upper].mean()
+    links, root = all_pairs(plain)
+    monkeypatch.setattr(media, "SMALL_GROUP", 10)
+    monkeypatch.setattr(media, "PAIR_CORNERS", 2000)
+    members = spark.createDataFrame([(1, i, len(c), c.tobytes(), d.tobytes()) for i, (c, d) in enumerate(known)], "grp long, node long, n long, corners binary, words binary")
+    for files in (1000, 70):
+        monkeypatch.setattr(media, "BLOCK_FILES", files)
+        rows = media.compare_groups(members).collect()
+        got = np.zeros(len(plain), int)
+        for row in rows:
+            got[row.node] += row.n
+        assert (got <= links).all() and got.sum() >= 0.95 * links.sum()
+        pairs = {(min(x.node, x.b), max(x.node, x.b)) for x in rows if x.b is not None}
+        assert sum((i, 60 + i) in pairs or root[60 + i] == 60 + i for i in range(60)) >= 57
+
+
 def test_links_of_a_group_are_all_counted(spark, monkeypatch):
     monkeypatch.setattr(media, "BLOCK_FILES", 5)
     x = textures(1)[0].astype(np.int64)
